@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm._common import table
+from tallyspark.llm.chat import as_events, fold_events, read_back, render
 from tallyspark.llm.decontamination import decontaminate
 from tallyspark.llm.packing import best_fit_packing
+from tallyspark.llm.pseudonyms import pseudonymise
 from tallyspark.llm.sharding import ring_shards
 
 
@@ -31,4 +33,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate)}
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="tallyspark")
+    return done.select("doc_id", "text", F.size("pii").alias("n_replaced"), "pii")
+
+
+#: The conversation every formatting run carries besides the table's own: control strings as its texts.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    read = read_back(render(fold_events(as_events(rows))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op8_chat_events)}
