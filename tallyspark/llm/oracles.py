@@ -50,8 +50,8 @@ s AS (
   FROM (SELECT r, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 links AS (
-  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY 1, 2)
-  JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * both >= 90 * (na.n + nb.n - both)),
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY 1, 2)
+  JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)),
 e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
@@ -59,4 +59,4 @@ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o O
 GROUP BY d.r, d.doc_id, n.n
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8}
+ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9}

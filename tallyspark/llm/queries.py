@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm._common import table
 from tallyspark.llm.chat import as_events, fold_events, read_back, render
 from tallyspark.llm.decontamination import decontaminate
+from tallyspark.llm.line_dedup import dedup_lines
+from tallyspark.llm.ngram_join import similar_sets
 from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.pseudonyms import pseudonymise
 from tallyspark.llm.sharding import ring_shards
@@ -38,6 +40,15 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii").alias("n_replaced"), "pii")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = similar_sets(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 #: The conversation every formatting run carries besides the table's own: control strings as its texts.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -50,4 +61,4 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op8_chat_events)}
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op8_chat_events, op9_ngram_join)}
