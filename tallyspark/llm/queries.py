@@ -10,6 +10,7 @@ from tallyspark.llm._common import table
 from tallyspark.llm.chat import as_events, fold_events, read_back, render
 from tallyspark.llm.decontamination import decontaminate
 from tallyspark.llm.line_dedup import dedup_lines
+from tallyspark.llm.neighbours import nearest_neighbours
 from tallyspark.llm.ngram_join import similar_sets
 from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.pseudonyms import pseudonymise
@@ -44,6 +45,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
 
 
+def op6_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = similar_sets(table(spark, sf_dir, "documents"), n=3, percent=90)
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -61,4 +67,4 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op8_chat_events, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op8_chat_events, op9_ngram_join)}
