@@ -14,7 +14,9 @@ from tallyspark.llm.neighbours import nearest_neighbours
 from tallyspark.llm.ngram_join import similar_sets
 from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.pseudonyms import pseudonymise
+from tallyspark.llm.quality import classify_quality
 from tallyspark.llm.sharding import ring_shards
+from tallyspark.llm.toxicity import classify_toxicity
 
 
 def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +52,16 @@ def op6_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = similar_sets(table(spark, sf_dir, "documents"), n=3, percent=90)
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -67,4 +79,4 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op8_chat_events, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar)}
