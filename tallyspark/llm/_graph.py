@@ -37,28 +37,44 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
 
 
-def linked_components(entries: DataFrame, block: list[str], near: Callable[[DataFrame, DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(entries: DataFrame, traits: DataFrame, near: Callable[[DataFrame, DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of the graph whose links are the verified pairs among nodes that share a key.
 
-    entries: (key, node, ...) with keys of two nodes or more. First each node
-    is tried against one centre of its key (and block columns). Then only
-    pairs of a key that still lie in different components are tried: those of
-    its largest component stand on one side, so a group that is already
-    joined costs nothing more, whatever its size. A pair left untried has
-    both ends in one component, so the components are those of all links.
+    entries: (key, block, node, ...) with keys of two nodes or more; traits:
+    (node, ...) that near() also needs. near(left, right) joins two such sets
+    on what can link, giving (a, b); verify(pairs) keeps those that do link.
 
-    near(left, right) joins two sets of entries on what can link, giving
-    (a, b); verify(pairs) keeps the pairs (a, b) that do link.
+    1. Each node is tried against one centre of its key and block: the node
+       with most keys in common with others, which in a group of near copies
+       is the one nearest to what they were copied from.
+    2. In keys that still hold several components, each node outside the
+       largest is tried against one member of it, another one for every key.
+    3. Nodes that are still outside are tried against all of other components.
+
+    A pair is left untried only if both ends lie in one component already, so
+    the components are those of all links, while a group that is joined early
+    costs nothing more, whatever its size.
     """
-    centres = entries.groupBy("key", *block).agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    first = entries.join(centres, ["key", *block]).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    shared = entries.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
+    ranked = entries.select("key", "block", "node").join(shared, "node")
+    centres = ranked.groupBy("key", "block").agg(F.max(F.struct("keys", "node")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    first = entries.select("key", "block", "node").join(centres.select("key", "block", F.col("top.node").alias("centre")), ["key", "block"])
+    first = first.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     found = cut(verify(cut(first)))
-    joined = components(found)
-    placed = cut(entries.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
-    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = placed.join(split, "key")
-    rest = near(open_.where("component <> largest"), open_)
-    tried = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verify(cut(tried.join(first, ["a", "b"], "left_anti")))
-    return components(found.select("a", "b").union(more.select("a", "b")))
+    for last in (False, True):
+        placed = entries.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+        split = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        open_ = cut(placed.join(split, "key").join(traits, "node"))
+        inside = open_ if last else _one_of_the_largest(open_)
+        rest = near(open_.where("component <> largest"), inside)
+        tried = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = cut(found.union(verify(tried)))
+    return components(found)
+
+
+def _one_of_the_largest(open_: DataFrame) -> DataFrame:
+    """For each key, the member of its largest component that a hash of both picks."""
+    named = [c for c in open_.columns if c != "key"]
+    pick = F.max_by(F.struct(*named), F.struct(F.xxhash64("key", "node"), "node"))
+    return open_.where("component = largest").groupBy("key").agg(pick.alias("it")).select("key", "it.*")

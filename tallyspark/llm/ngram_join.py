@@ -20,7 +20,8 @@ FREQUENT = 500_000
 WANTED = 1_000_000
 #: Shingles of one map task that are counted at a time.
 COUNTED = 1 << 21
-BITS = 1024
+#: Bits of a set's parity map.
+BITS = 256
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -92,20 +93,9 @@ def _profile(batches: Iterator[pa.RecordBatch], frequent, n: int, percent: int)
             ranked = tokens[np.lexsort((tokens, often))[:first]]
             prefixes.append(ranked.view(np.int64))
             flags = np.zeros(BITS, np.uint8)
-            np.bitwise_xor.at(flags, (tokens >> np.uint64(54)).astype(np.int64), 1)
-            bits.append(np.packbits(flags).tobytes() if size else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix", "bits"])
-
-
-def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose parity bitmaps leave room for the overlap: differing bits are differing shingles."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-        apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-        a, b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-        yield batch.filter(pa.array(a + b - 2 * overlap(a, b, percent) >= apart)).select(["a", "b"])
+            np.bitwise_xor.at(flags, (tokens >> np.uint64(56)).astype(np.int64), 1)
+            bits.append(np.packbits(flags).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "prefix", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -149,33 +139,37 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     session = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = session.sparkContext.broadcast(frequent_shingles(docs, n))
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, prefix array<long>, bits binary"
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, prefix array<long>, bits array<long>"
     rows = cut(docs.mapInArrow(lambda it: _profile(it, frequent, n, percent), kinds))
     frequent.unpersist()
     filled = rows.where("digest is not null")
     nodes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
     # A size class spans a factor of 100 / percent, so what links is of one class or of neighbouring ones.
     size_class = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    listed = nodes.select(F.posexplode("prefix").alias("position", "key"), "node", "size", size_class.alias("block"))
+    listed = nodes.select(F.posexplode("prefix").alias("position", "key"), "node", F.col("size").cast("int").alias("size"), size_class.alias("block"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
     entries = cut(listed.join(shared, "key"))
+    words = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITS // 64)]
+    traits = nodes.select("node", *words)
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        cols = ("node", "size", "position", "component")
+        cols = ["node", "size", "position", "component", *traits.columns[1:]]
         x = left.select("key", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
         y = right.select("key", "block", *[F.col(c).alias(f"{c}_y") for c in cols])
-        return x.join(y, ["key", "block"]).where(_possible("size_x", "size_y", "position_x", "position_y", percent) & (F.col("component_x") != F.col("component_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+        can = _possible("size_x", "size_y", "position_x", "position_y", percent) & _maps_allow("x", "y", percent) & (F.col("component_x") != F.col("component_y"))
+        return x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & can).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-        screened = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_may_link, percent=percent), "a long, b long"))
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), *[w.alias(f"bits{i}_{c}") for i, w in enumerate(words)])
+        screened = pairs.join(side("a"), "a").join(side("b"), "b").where(_maps_allow("a", "b", percent)).select("a", "b")
+        screened = cut(screened)
         wanted = cut(screened.select(F.col("a").alias("node")).union(screened.select("b")).distinct().join(nodes.select("node", "rep", "digest"), "node"))
         texts = _texts_of(docs, wanted).mapInArrow(partial(_sets, n=n), "node long, shingles binary")
         texts = texts.groupBy("node").agg(F.first("shingles").alias("shingles"))
         both = screened.join(texts.toDF("a", "set_a"), "a").join(texts.toDF("b", "set_b"), "b")
         return both.mapInArrow(partial(_linked, percent=percent), "a long, b long")
 
-    joined = linked_components(entries, ["block"], near, verify)
+    joined = linked_components(entries, traits, near, verify)
     placed = nodes.select("node", "rep", "digest").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = placed.join(smallest, "component").select("digest", "component_id")
@@ -183,10 +177,19 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("digest").alias("set_digest"))
 
 
+def _need(x: str, y: str, percent: int) -> Column:
+    return F.ceil(percent * (F.col(x) + F.col(y)) / (100.0 + percent) - 1e-6)
+
+
+def _maps_allow(x: str, y: str, percent: int) -> Column:
+    """Whether parity maps leave room for the overlap: a bit that differs is at least one shingle that does."""
+    apart = sum((F.bit_count(F.col(f"bits{i}_{x}").bitwiseXOR(F.col(f"bits{i}_{y}"))) for i in range(BITS // 64)), F.lit(0))
+    return F.col(f"size_{x}") + F.col(f"size_{y}") - 2 * _need(f"size_{x}", f"size_{y}", percent) >= apart
+
+
 def _possible(n_x: str, n_y: str, i: str, j: str, percent: int) -> Column:
     """Whether sets that first meet at these positions can still share enough."""
-    need = F.ceil(percent * (F.col(n_x) + F.col(n_y)) / (100.0 + percent) - 1e-6)
-    return 1 + F.least(F.col(n_x) - F.col(i) - 1, F.col(n_y) - F.col(j) - 1) >= need
+    return F.least(F.col(n_x) - F.col(i), F.col(n_y) - F.col(j)) >= _need(n_x, n_y, percent)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
