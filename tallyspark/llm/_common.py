@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,26 +10,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one numpy step handles; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
-
+from tallyspark.sources.lineage import cut, shared_folder
+from tallyspark.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "shared_folder", "table"]
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of its own only where that is unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tallyspark-"))
-    return context._jsc.sc().getCheckpointDir().get()
+#: Bytes of text that one numpy step handles; a longer single text is a step of its own.
+STEP_BYTES = 1 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends a lineage with a checkpoint in the shared folder, which outlives executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more, which otherwise stay until the driver's JVM happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def columns_free_of(df: DataFrame, *names: str) -> list[str]:
@@ -62,7 +55,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
     if len(_powers.get("up", ())) < n:
         size = max(n, STEP_BYTES + 1)
@@ -109,7 +102,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word with A-Z lower-cased: prefix sums of a polynomial, moved to power 0, then mixed."""
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LOWER[data] * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])

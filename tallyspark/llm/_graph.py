@@ -7,32 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm._common import cut
+from tallyspark.llm._common import cut, release
+
+
+#: Rows a partition of a small relation may have; keeps tiny shuffles from being cut into very many files.
+FEW = 100_000
+
+
+def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint in as few partitions as its rows fill, and how many rows it has."""
+    df = cut(df)
+    rows = df.count()
+    if rows > FEW // 10:
+        release(df.sparkSession)
+    return df.coalesce(rows // FEW + 1), rows
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edges stay the
-    same. Each step is a minimum per node (combined map-side) joined back to
-    the edges, so a node with very many neighbours is never gathered; every
-    round is checkpointed. Null ends and loops are dropped; no edges give no
-    rows.
+    Alternates the large-star and small-star steps until every edge (a, b)
+    leads from a node to the root of its star. Each step is a minimum per node
+    (combined map-side) joined back to the edges, so a node with very many
+    neighbours is never gathered; every round is checkpointed. Null ends and
+    loops are dropped; no edges give no rows.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
-    while True:
-        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state or not seen[0]:
+    edges, rows = cut_small(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while rows:
+        few = rows // FEW + 1
+        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("as_a"), F.lit(0).alias("as_b")).union(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("n").agg(F.sum("as_a").alias("as_a"), F.sum("as_b").alias("as_b"))
+        if ends.where("as_a > 1 or (as_a > 0 and as_b > 0)").isEmpty():
             break
-        state = seen
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).coalesce(few)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(few).distinct().coalesce(few)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few)
+        joined = large.join(low, "a").coalesce(few)
         small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b"), F.col("m")).toDF("a", "b"))
-        edges = cut(small.distinct())
+        edges, rows = cut_small(small.coalesce(few).distinct())
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
 
@@ -44,11 +57,12 @@ def linked_components(entries: DataFrame, traits: DataFrame, near: Callable[[Dat
     (node, ...) that near() also needs. near(left, right) joins two such sets
     on what can link, giving (a, b); verify(pairs) keeps those that do link.
 
-    1. Each node is tried against one centre of its key and block: the node
-       with most keys in common with others, which in a group of near copies
-       is the one nearest to what they were copied from.
+    1. Each node is tried against one centre: of the nodes that have most
+       keys in common with others in its keys (in a group of near copies those
+       nearest to what they were copied from), the one it shares most keys with.
     2. In keys that still hold several components, each node outside the
-       largest is tried against one member of it, another one for every key.
+       largest is tried against one member of it, again the one met most often
+       among those that a hash picks for the keys.
     3. Nodes that are still outside are tried against all of other components.
 
     A pair is left untried only if both ends lie in one component already, so
@@ -59,20 +73,36 @@ def linked_components(entries: DataFrame, traits: DataFrame, near: Callable[[Dat
     ranked = entries.select("key", "block", "node").join(shared, "node")
     centres = ranked.groupBy("key", "block").agg(F.max(F.struct("keys", "node")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1")
     first = entries.select("key", "block", "node").join(centres.select("key", "block", F.col("top.node").alias("centre")), ["key", "block"])
-    first = first.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    found = cut(verify(cut(first)))
+    first = _met_most(first.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    tried, _ = cut_small(first)
+    del first, ranked, centres, shared
+    found, _ = cut_small(verify(tried))
     for last in (False, True):
         placed = entries.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
         split = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        open_ = cut(placed.join(split, "key").join(traits, "node"))
-        inside = open_ if last else _one_of_the_largest(open_)
-        rest = near(open_.where("component <> largest"), inside)
-        tried = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = cut(found.union(verify(tried)))
+        open_ = placed.join(split, "key").join(traits, "node").persist()
+        outside = open_.where("component <> largest")
+        if last:
+            rest = near(outside, open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            rest = _met_most(near(outside, _one_of_the_largest(open_)))
+        tried, rows = cut_small(rest)
+        open_.unpersist()
+        del rest, outside, open_, split, sizes, placed
+        release(tried.sparkSession)
+        if rows:
+            found, _ = cut_small(found.union(verify(tried)))
     return components(found)
 
 
+def _met_most(pairs: DataFrame) -> DataFrame:
+    """For each a, the b it is paired with most often, as one pair in order."""
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    best = counted.groupBy("a").agg(F.max(F.struct("met", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+
+
 def _one_of_the_largest(open_: DataFrame) -> DataFrame:
     """For each key, the member of its largest component that a hash of both picks."""
     named = [c for c in open_.columns if c != "key"]

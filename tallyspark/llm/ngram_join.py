@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm._common import NON_SPACE, cut, shingle_hashes, steps, word_hashes, word_spans
-from tallyspark.llm._graph import linked_components
+from tallyspark.llm._common import NON_SPACE, cut, release, shingle_hashes, steps, word_hashes, word_spans
+from tallyspark.llm._graph import cut_small, linked_components
 
 #: Frequent shingles whose order the workers know; others count as rare. A bound on a broadcast, not on the search: any order gives all links.
 FREQUENT = 500_000
@@ -20,6 +20,12 @@ FREQUENT = 500_000
 WANTED = 1_000_000
 #: Shingles of one map task that are counted at a time.
 COUNTED = 1 << 21
+#: Blocks of sizes that one index list holds.
+SPAN = 4
+#: Most keys that are broadcast when the index is thinned to lists of two sets or more; beyond it they are joined.
+SHARED = 2_000_000
+#: Intersections of half hashes this near to the limit are counted again with whole hashes.
+MARGIN = 2
 #: Bits of a set's parity map.
 BITS = 256
 
@@ -98,21 +104,38 @@ def _profile(batches: Iterator[pa.RecordBatch], frequent, n: int, percent: int)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "prefix", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int, whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch["text"], n)]
-        same = [digest_of(s) == d.as_py() for s, d in zip(sets, batch["digest"], strict=True)]
+        sets, same = [], []
+        for tokens, digest in zip(shingle_sets(batch["text"], n), batch["digest"], strict=True):
+            same.append(digest_of(tokens.tobytes()) == digest.as_py())
+            sets.append((tokens if whole else np.unique((tokens >> np.uint64(32)).astype(np.uint32))).tobytes())
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(same, pa.bool_()))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    kind = np.uint64 if whole else np.uint32
     for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        keep, sure = [], []
+        for x, y, size_a, size_b in zip(batch["set_a"], batch["set_b"], batch["size_a"].to_pylist(), batch["size_b"].to_pylist(), strict=True):
+            a, b = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            keep.append(int((b[at] == a).sum()) >= overlap(len(a), len(b), percent))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            spare = int((b[at] == a).sum()) - overlap(size_a, size_b, percent)
+            keep.append(spare >= (0 if whole else -MARGIN))
+            sure.append(whole or spare > MARGIN)
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _compared(docs: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
+    """(a, b, sure) of the pairs whose sets link: by whole hashes, or by their upper halves with those near the limit marked unsure."""
+    if whole:
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted, _ = cut_small(wanted.join(asked, "node"))
+    texts = _texts_of(docs, wanted).mapInArrow(partial(_sets, n=n, whole=whole), "node long, shingles binary")
+    # One row per node even where rows repeat; an aggregate of the same rows, not a choice.
+    texts = texts.groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted.select("node", "size"), "node")
+    both = pairs.join(texts.toDF("a", "set_a", "size_a"), "a").join(texts.toDF("b", "set_b", "size_b"), "b")
+    return both.mapInArrow(partial(_linked, percent=percent, whole=whole), "a long, b long, sure boolean")
 
 
 def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -128,8 +151,8 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Relations between sets save the work. Equal sets are one node, so copies
     are never paired. The index lists a set under the prefix of its rarest
-    shingles, in blocks by size class; a block is skipped unless its sizes can
-    link, and within it the position of the shared shingle bounds the overlap
+    shingles, in lists by span of sizes and blocks within them; a block is
+    skipped unless its sizes can link, and within it the position of the shared shingle bounds the overlap
     still possible. Then answers are derived: once a set is linked to the
     centre of a list, what that component answers holds for it too, and only
     pairs across components are looked at (see linked_components). Parity
@@ -144,30 +167,33 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     frequent.unpersist()
     filled = rows.where("digest is not null")
     nodes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
-    # A size class spans a factor of 100 / percent, so what links is of one class or of neighbouring ones.
-    size_class = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    listed = nodes.select(F.posexplode("prefix").alias("position", "key"), "node", F.col("size").cast("int").alias("size"), size_class.alias("block"))
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
-    entries = cut(listed.join(shared, "key"))
+    # A block spans a factor of 100 / percent in size, so what links is of one block or of neighbouring ones. The index
+    # has a list for each shingle and SPAN blocks; sets of a span's first block stand in the span below too.
+    size_block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    listed = nodes.select(F.posexplode("prefix").alias("position", "shingle"), "node", F.col("size").cast("int").alias("size"), size_block.alias("block"))
+    spans = F.array_distinct(F.array(F.floor(F.col("block") / SPAN), F.floor((F.col("block") - 1) / SPAN)))
+    listed = listed.withColumn("span", F.explode(spans)).select(F.xxhash64("shingle", "span").alias("key"), "block", "node", "size", "position")
+    shared, keys = cut_small(listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"))
+    entries = cut(listed.join(F.broadcast(shared) if keys <= SHARED else shared, "key"))
+    release(session)
     words = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITS // 64)]
     traits = nodes.select("node", *words)
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        cols = ["node", "size", "position", "component", *traits.columns[1:]]
-        x = left.select("key", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
-        y = right.select("key", "block", *[F.col(c).alias(f"{c}_y") for c in cols])
+        cols = ["node", "size", "position", "component", "block", *traits.columns[1:]]
+        x, y = (df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for df, s in ((left, "x"), (right, "y")))
         can = _possible("size_x", "size_y", "position_x", "position_y", percent) & _maps_allow("x", "y", percent) & (F.col("component_x") != F.col("component_y"))
-        return x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & can).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+        near_blocks = F.abs(F.col("block_x") - F.col("block_y")) <= 1
+        return x.join(y, (x["key"] == y["key"]) & near_blocks & can).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), *[w.alias(f"bits{i}_{c}") for i, w in enumerate(words)])
         screened = pairs.join(side("a"), "a").join(side("b"), "b").where(_maps_allow("a", "b", percent)).select("a", "b")
-        screened = cut(screened)
-        wanted = cut(screened.select(F.col("a").alias("node")).union(screened.select("b")).distinct().join(nodes.select("node", "rep", "digest"), "node"))
-        texts = _texts_of(docs, wanted).mapInArrow(partial(_sets, n=n), "node long, shingles binary")
-        texts = texts.groupBy("node").agg(F.first("shingles").alias("shingles"))
-        both = screened.join(texts.toDF("a", "set_a"), "a").join(texts.toDF("b", "set_b"), "b")
-        return both.mapInArrow(partial(_linked, percent=percent), "a long, b long")
+        screened, _ = cut_small(screened)
+        wanted, _ = cut_small(screened.select(F.col("a").alias("node")).union(screened.select("b")).distinct().join(nodes.select("node", "rep", "digest", "size"), "node"))
+        compared, _ = cut_small(_compared(docs, wanted, screened, n, percent, whole=False))
+        unsure = compared.where("not sure").select("a", "b")
+        return compared.where("sure").union(_compared(docs, wanted, unsure, n, percent, whole=True)).select("a", "b")
 
     joined = linked_components(entries, traits, near, verify)
     placed = nodes.select("node", "rep", "digest").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -40,13 +40,21 @@ def feistel(low: Column, high: Column, low_size: Column, high_size: Column, key:
     """A keyed permutation of the pairs (low, high) with low < low_size, high < high_size: each half in turn is moved by a digest of the other."""
     state = F.struct(low.alias("low"), high.alias("high"))
     for i in range(ROUNDS):
-        if i % 2 == 0:
-            state = _let(state, lambda s, i=i: F.struct(F.pmod(s["low"] + F.pmod(_digest(key, tweak, F.lit(i), s["high"]), low_size), low_size).alias("low"), s["high"].alias("high")))
-        else:
-            state = _let(state, lambda s, i=i: F.struct(s["low"].alias("low"), F.pmod(s["high"] + F.pmod(_digest(key, tweak, F.lit(i), s["low"]), high_size), high_size).alias("high")))
+        state = _let(state, _round(i, low_size, high_size, key, tweak))
     return state["low"], state["high"]
 
 
+def _round(i: int, low_size: Column, high_size: Column, key: str, tweak: Column) -> Callable[[Column], Column]:
+    """One round as a function of the state alone; even rounds move the low half, odd ones the high half."""
+
+    def move(s: Column) -> Column:
+        own, other, size = ("low", "high", low_size) if i % 2 == 0 else ("high", "low", high_size)
+        moved = F.pmod(s[own] + F.pmod(_digest(key, tweak, F.lit(i), s[other]), size), size).alias(own)
+        return F.struct(moved, s[other].alias(other))
+
+    return move
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)

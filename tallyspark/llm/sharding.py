@@ -99,7 +99,7 @@ def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.0005, group:
     same_part = (F.col("_p") == -1) | (F.col("_p") == F.col(part))
     placed = keyed.join(F.broadcast(by_group), (keyed[key] == by_group[key]) & same_part, "left").drop(by_group[key])
     placed = placed.join(F.broadcast(by_range), cell).withColumn(shard, F.coalesce("_home", "_range")).drop("_home", "_p", "_range")
-    return number(placed, shard, part, slot).drop(key, weight, cell, part)
+    return number(placed, shard, part, slot).select(*docs.columns, shard, slot)
 
 
 def number(df: DataFrame, group: str, part: str, name: str) -> DataFrame:

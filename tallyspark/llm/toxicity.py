@@ -73,8 +73,9 @@ def grammar() -> Transducer:
     """Insult, threat, target, negation and reported-speech transducers, composed."""
     # A second insult of a clause adds less than the first.
     insult = _machine(2, lambda s, x: (1, x, 0.8 if s else 1.0) if x == INSULT else (s, x, 1.0))
-    # A threat counts in full once someone is named, and little otherwise.
-    threat = _machine(2, lambda s, x: (1, x, 1.0) if x == TARGET else (s, x, 1.0 if s else 0.3) if x == THREAT else (s, x, 1.0))
+    # A threat counts in full with someone named before it; else little, and the rest once someone is named after it.
+    moves = {(0, TARGET): (1, TARGET, 1.0), (0, THREAT): (2, THREAT, 0.3), (1, THREAT): (1, THREAT, 1.0), (2, TARGET): (1, THREAT, 0.7), (2, THREAT): (2, THREAT, 0.3)}
+    threat = _machine(3, lambda s, x: moves.get((s, x), (s, x, 1.0)))
     # An insult after a target is aimed.
     target = _machine(2, lambda s, x: (1, x, 1.0) if x == TARGET else (s, x, 1.2 if s else 1.0) if x == INSULT else (s, x, 1.0))
     # A negation reaches the next few words.
@@ -106,7 +107,7 @@ class Lexicon:
         for kind in (TARGET, NEGATION, REPORT, THREAT, INSULT):
             kinds |= dict.fromkeys(_hash_words(WORDS[kind].split()).tolist(), kind)
         known = dict(zip(self.hashes.tolist(), self.weights.tolist(), strict=True))
-        rows = {h: (k, known.get(h, PRIOR)) for h, k in kinds.items() if k in (INSULT, THREAT)} | {h: (k, 0.0) for h, k in kinds.items() if k not in (INSULT, THREAT)}
+        rows = {h: (k, known.get(h, PRIOR)) for h, k in kinds.items() if k in (INSULT, THREAT)} | {h: (k, PRIOR if k == TARGET else 0.0) for h, k in kinds.items() if k not in (INSULT, THREAT)}
         rows |= {h: (kinds.get(h) if kinds.get(h) == THREAT else INSULT, w) for h, w in known.items() if kinds.get(h) not in (TARGET, NEGATION, REPORT) and w > 0}
         rows = {h: (k, w) for h, (k, w) in rows.items() if k not in (INSULT, THREAT) or w > 0}
         order = sorted(rows)
