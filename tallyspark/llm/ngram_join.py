@@ -98,9 +98,8 @@ def _profile(batches: Iterator[pa.RecordBatch], frequent, n: int, percent: int)
             first = size - int(overlap(size, -(-percent * size // 100), percent)) + 1 if size else 0
             ranked = tokens[np.lexsort((tokens, often))[:first]]
             prefixes.append(ranked.view(np.int64))
-            flags = np.zeros(BITS, np.uint8)
-            np.bitwise_xor.at(flags, (tokens >> np.uint64(56)).astype(np.int64), 1)
-            bits.append(np.packbits(flags).view(np.int64))
+            odd = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1
+            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "prefix", "bits"])
 
 
