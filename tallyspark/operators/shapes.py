@@ -138,7 +138,7 @@ def max_von_mises(df: DataFrame, key: str) -> DataFrame:
 
 
 def _stress(nodes, elements, fixed, loads, e: float, nu: float, thickness: float) -> float:
-    """Linear triangles; fixed and loads are (degree of freedom, value)."""
+    """Linear triangles; fixed and loads are structs of dof (degree of freedom) and value."""
     xy = np.array([list(p) for p in nodes], float)
     stiff, parts = np.zeros((2 * len(xy), 2 * len(xy))), []
     d = e / (1 - nu * nu) * np.array([[1, nu, 0], [nu, 1, 0], [0, 0, (1 - nu) / 2]])
@@ -156,9 +156,9 @@ def _stress(nodes, elements, fixed, loads, e: float, nu: float, thickness: float
         stiff[np.ix_(dofs, dofs)] += area2 / 2 * thickness * strain.T @ d @ strain
         parts.append((dofs, strain))
     force = np.zeros(len(stiff))
-    for dof, value in loads:
-        force[int(dof)] += value
-    held = {int(dof): value for dof, value in fixed}
+    for load in loads:
+        force[int(load["dof"])] += load["value"]
+    held = {int(f["dof"]): f["value"] for f in fixed}
     free = np.array([i for i in range(len(stiff)) if i not in held])
     moved = np.zeros(len(stiff))
     moved[list(held)] = list(held.values())

@@ -6,6 +6,7 @@ import hashlib
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,8 +90,8 @@ def read_ordered_json(spark: SparkSession, folder: str, schema: T.StructType | s
 
 def _signed(content: Column, at: Column, width: int) -> Column:
     """A little-endian signed integer of width bytes that begins at a byte number from 0."""
-    raw = F.reverse(F.substring(content, (at + 1).cast("int"), F.lit(width)))
-    value = F.conv(F.hex(raw), 16, 10).cast("int")
+    byte = lambda i: F.conv(F.hex(F.substring(content, (at + i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    value = sum((byte(i) * (1 << (8 * i)) for i in range(1, width)), byte(0))
     return F.when(value >= 1 << (8 * width - 1), value - (1 << (8 * width))).otherwise(value)
 
 
@@ -151,9 +152,12 @@ def append_unique(df: DataFrame, path: str, key: str) -> None:
     """Appends to a log only if no key of df stands in it yet or twice in df."""
     spark = df.sparkSession
     twice = df.groupBy(key).count().where("count > 1")
-    known = df.limit(0).select(key)
-    if Path(path).exists():
+    try:
         known = spark.read.json(path).select(key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = df.limit(0).select(key)
     if not twice.isEmpty() or not df.join(known, key, "left_semi").isEmpty():
         raise ValueError(f"{key} is already in the log")
     append_events(df, path)
@@ -184,7 +188,8 @@ def sealed_copy(files: DataFrame, root: str, into: str) -> DataFrame:
     rows = []
     for r in files.select("path").toLocalIterator():
         source = Path(contained(root, r.path))
-        if source.is_symlink() or not source.is_file():
+        # Resolved, a path that goes through a link differs from the one listed.
+        if source != Path(root).resolve() / r.path or not source.is_file():
             raise ValueError(f"not a regular file: {r.path}")
         data = source.read_bytes()
         target = Path(into) / r.path

@@ -126,7 +126,7 @@ def test_velocity_window_is_half_open(spark):
 def test_islands_and_frames(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([0, 5, 5, 5, 0, 5, 0, 5, 5])], "i long, v int").withColumn("k", F.lit(1))
     assert values(X.islands(df, "k", "i", F.col("v") > 1, 2)) == [(1, 1, 4), (1, 7, 9)]
-    assert values(X.frames(df, "i", "v", 4)) == [(0, 75), (1, 75)]
+    assert values(X.frames(df, "i", "v", 4)) == [(0, 75), (1, 50)]
 
 
 def test_counters(spark):
