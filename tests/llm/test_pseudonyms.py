@@ -79,6 +79,13 @@ def test_other_kinds(spark):
     assert [k for k, *_ in found[6]] == ["secret", "secret"] and out[7].startswith("AKIA") and len(out[7]) == 20
 
 
+def test_long_secrets_and_mailboxes_go_whole(spark):
+    secret, box = "eyJhbGciOi." * 40 + "tail", "n" * 90
+    out, found = swap(spark, [f"token={secret} end", f"to {box}@mail.example.com now"])
+    assert [(k, v) for k, v, _ in found[0]] == [("secret", secret)] and "tail" not in out[0] and out[0].endswith(" end")
+    assert [(k, v) for k, v, _ in found[1]] == [("email", f"{box}@mail.example.com")] and box not in out[1]
+
+
 def test_linked_and_clean(spark):
     clean = ["chapter 12, 3.5 km in 2020", "v1.2.3 build 20200101", "", None, "abcm", "x" * 200_000]
     out, found = swap(spark, clean + ["a 4420916602543986", "b 4420916602543986 c", " 1999-12-31"])
