@@ -21,12 +21,31 @@ FIRST_DAY, DAY_LOW, DAY_HIGH = "1700-01-01", 189, 773
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\"' ])(?<=(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]{6,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b",
+    "iban": r"\b(?:VALID)\b",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9/-])(?!\.[0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])",
+    "card": r"(?<![0-9.-])(?:VALID)(?![0-9]|\.[0-9])",
+}
+#: Where a number of several lengths may begin, with the longest run and what follows it; VALID above stands for a text's own valid ones.
+RUNS = {
+    "iban": r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?[0-9A-Za-z_]?))",
+    "card": r"(?<![0-9.-])(?=([0-9](?:[ -]?[0-9]){12,18}(?:[.]?[0-9])?))",
+}
+#: The number of such a length at the begin of a run.
+LENGTHS = {
+    "iban": [rf"^([A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}})\b" for n in range(34, 14, -1)],
+    "card": [rf"^([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9]|\.[0-9])" for n in range(19, 12, -1)],
+}
+#: Characters of a country's IBAN.
+IBAN_SIZES = {
+    k[:2]: int(k[2:])
+    for k in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+        "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+        "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
 }
 
 
@@ -219,6 +238,22 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _valid_of_run(kind: str, text: Column) -> Column:
+    """The valid numbers of a text, longest first: at each place one of the country's own length, else the longest valid one."""
+
+    def best(run: Column) -> Column:
+        all_ = F.filter(F.array(*[F.regexp_extract(run, p, 1) for p in LENGTHS[kind]]), lambda v: (v != "") & _valid(kind, v))
+        if kind == "card":
+            return F.get(all_, F.lit(0))
+        sizes = F.create_map(*[F.lit(x) for pair in IBAN_SIZES.items() for x in pair])
+        own = F.filter(all_, lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))) == F.try_element_at(sizes, F.substring(v, 1, 2)))
+        return F.coalesce(F.get(own, F.lit(0)), F.get(all_, F.lit(0)))
+
+    found = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(RUNS[kind]), F.lit(1))), best), lambda v: v.isNotNull())
+    by_length = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(found), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda x: x["v"])
+    return F.when(text.rlike(RUNS[kind]), F.coalesce(F.nullif(F.array_join(by_length, "|"), F.lit("")), F.lit("(?!)"))).otherwise("(?!)")
+
+
 _SWAPS = {"email": email, "secret": secret, "iban": iban, "date": date, "ipv4": ipv4, "ssn": ssn, "phone": phone, "card": card}
 
 
@@ -234,7 +269,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     without findings stay as they are, repeated rows are treated alike, an
     existing pii column is kept and the new one gets an underscore.
 
-    One regular expression finds all kinds in one pass over the whole text;
+    A card or account number may be followed by digits or letters of something
+    else, so each length that ends a group is tried at each place where one
+    may begin, and a text's expression holds its own valid numbers. One
+    regular expression finds all kinds in one pass over the whole text;
     the text is then split at the marks it leaves, and every second part is
     looked at. No shuffle.
     """
@@ -243,8 +281,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     for own, kept in KEPT.items():
         safe = F.replace(safe, F.lit(own), F.lit(kept))
     safe = F.when(raw.rlike(f"[{MARK}{BETWEEN}{ESCAPE}]"), safe).otherwise(raw)
-    every = "|".join(f"({p})" for p in PATTERNS.values())
-    marked = F.regexp_replace(safe, every, MARK + BETWEEN.join(f"${i + 1}" for i in range(len(PATTERNS))) + MARK)
+    every, pieces = "|".join(f"({p})" for p in PATTERNS.values()), []
+    for kind in RUNS:
+        before, every = every.split("VALID", 1)
+        pieces += [F.lit(before), _valid_of_run(kind, safe)]
+    every = F.concat(*pieces, F.lit(every))
+    marked = F.regexp_replace(safe, every, F.lit(MARK + BETWEEN.join(f"${i + 1}" for i in range(len(PATTERNS))) + MARK))
 
     def plain(c: Column) -> Column:
         back = c

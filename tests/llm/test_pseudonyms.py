@@ -79,6 +79,18 @@ def test_other_kinds(spark):
     assert [k for k, *_ in found[6]] == ["secret", "secret"] and out[7].startswith("AKIA") and len(out[7]) == 20
 
 
+def test_numbers_before_and_behind_others(spark):
+    texts = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "12 4111-1111-1111-1111 123 4420916602543986.", "BE68 5390 0754 7034 EUR", "pay BE68539007547034 EUR 5", "4111 1111 1111 1112 12/27", "BE69 5390 0754 7034 EUR"]
+    out, found = swap(spark, texts)
+    values = [[(k, v) for k, v, _ in row] for row in found]
+    assert values[:2] == [[("card", "4111 1111 1111 1111")], [("card", "4111111111111111")]]
+    assert values[2] == [("card", "4111-1111-1111-1111"), ("card", "4420916602543986")]
+    assert values[3:5] == [[("iban", "BE68 5390 0754 7034")], [("iban", "BE68539007547034")]]
+    assert values[5:] == [[], []] and out[5:] == texts[5:]
+    assert out[0].endswith(" 12/27") and out[1].endswith(" 123") and out[3].endswith(" EUR") and out[2].startswith("12 4")
+    assert all(luhn(p) for row in found[:3] for _, _, v in row for p in [re.sub(r"\D", "", v)])
+
+
 def test_long_secrets_and_mailboxes_go_whole(spark):
     secret, box = "eyJhbGciOi." * 40 + "tail", "n" * 90
     out, found = swap(spark, [f"token={secret} end", f"to {box}@mail.example.com now"])
