@@ -38,6 +38,31 @@ def q_nth_sentence(spark, sf_dir):
     return items.select("item_id", F.size("s").cast("long").alias("n_sentences"), second["text"].alias("second"), second["start"].alias("starts_at"))
 
 
+@query(r"""
+WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])[.!?]', '\1' || chr(1), 'g'), '[.!?]([0-9])', chr(1) || '\1', 'g') AS text FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM p)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_segments, CAST(length(s[1]) AS BIGINT) AS first_chars FROM s
+""")
+def q_sentences_all(spark, sf_dir):
+    """q_sentences over every row; the statement puts another character for marks that touch a digit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.segments(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.size("s").cast("long").alias("n_segments"), F.length(F.get("s", F.lit(0))).cast("long").alias("first_chars"))
+
+
+@query(r"""
+WITH p AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '([0-9])\.', '\1' || chr(2), 'g'), '([0-9])!', '\1' || chr(3), 'g'), '([0-9])\?', '\1' || chr(4), 'g') AS text FROM benchmark),
+s AS (SELECT item_id, regexp_split_to_array(regexp_replace(text, '([.!?]+\s+)', '\1' || chr(1), 'g'), chr(1)) AS s FROM p)
+SELECT item_id, CAST(len(list_filter(s, lambda x: trim(x) <> '')) AS BIGINT) AS n_sentences,
+  translate(trim(regexp_replace(s[2], '\s+', ' ', 'g')), chr(2) || chr(3) || chr(4), '.!?') AS second, CAST(strlen(s[1]) AS BIGINT) AS starts_at
+FROM s WHERE len(list_filter(s, lambda x: trim(x) <> '')) > 1
+""")
+def q_nth_sentence_all(spark, sf_dir):
+    """q_nth_sentence over every row."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 1)
+    second = T.nth(F.col("s"), 1)
+    return items.select("item_id", F.size("s").cast("long").alias("n_sentences"), second["text"].alias("second"), second["start"].alias("starts_at"))
+
+
 @query(r"""
 WITH s AS (SELECT page_id, (CASE WHEN regexp_matches(html, '<script') THEN 3 ELSE 0 END) + (CASE WHEN regexp_matches(html, '<h[1-6]') THEN 2 ELSE 0 END)
   + (CASE WHEN coalesce(try_cast(regexp_extract(html, 'width="?([0-9]+)', 1) AS INTEGER) >= 100, false) THEN 2 ELSE 0 END)

@@ -230,6 +230,11 @@ def test_reachable_with_a_cycle(spark):
     assert values(G.dependency_closure(packages, "r")) == [("r", 0, "h", 2), ("x", 1, "i", 1), ("y", 1, "", 0)]
 
 
+def test_marks_that_touch_digits_end_nothing(spark):
+    df = spark.createDataFrame([("It is 3.5 m. Then 7. No! Up..5 a",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.segments(F.col("t"))).collect()] == [["It is 3.5 m", "Then 7. No", "Up", ".5 a"], None]
+
+
 def test_invariants(spark):
     df = spark.createDataFrame([(3, 2, 1, {"a": 1}), (3, 2, 2, {"a": 2}), (3, 2, 1, {"a": 2}), (1, 2, -1, {"a": -1})], "e long, i long, w long, r map<string,long>")
     assert [r.reason for r in I.coverage_sum(df, "e", "i", "w", "r").collect()] == ["issued + withheld <> eligible", "reasons <> withheld", "negative count"]
