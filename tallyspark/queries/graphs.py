@@ -39,3 +39,20 @@ def q_dependency_closure(spark, sf_dir):
     deps = F.when(key * 2 <= 600, F.array(name(key * 2), name(key * 2 + 1))).otherwise(F.array().cast("array<string>"))
     packages = table(spark, sf_dir, "part").select(name(key).alias("id"), F.sha2("p_name", 256).alias("hash"), deps.alias("deps"))
     return dependency_closure(packages, "p1")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'p' || p_partkey // 2 AS src, 'p' || p_partkey AS dst FROM part WHERE p_partkey > 1),
+t AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM t JOIN e ON src = id),
+n AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1), p AS (SELECT 'p' || p_partkey AS id, sha256(p_name) AS hash FROM part)
+SELECT t.id, t.depth, coalesce(hash, '') AS hash, CAST(coalesce(n, 0) AS INTEGER) AS n_deps FROM t LEFT JOIN p USING (id) LEFT JOIN n USING (id)
+""")
+def q_dependency_closure_all(spark, sf_dir):
+    """The closure over the whole part table: a part depends on those of twice its key and one more, where they exist."""
+    name = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    parts = table(spark, sf_dir, "part")
+    parent = F.floor(F.col("p_partkey") / 2).cast("long")
+    deps = parts.where("p_partkey > 1").groupBy(name(parent).alias("id")).agg(F.collect_list(name(F.col("p_partkey"))).alias("deps"))
+    packages = parts.select(name(F.col("p_partkey")).alias("id"), F.sha2("p_name", 256).alias("hash")).join(deps, "id", "left")
+    packages = packages.withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    return dependency_closure(packages, "p1")

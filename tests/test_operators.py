@@ -230,6 +230,13 @@ def test_reachable_with_a_cycle(spark):
     assert values(G.dependency_closure(packages, "r")) == [("r", 0, "h", 2), ("x", 1, "i", 1), ("y", 1, "", 0)]
 
 
+def test_closure_has_no_silent_depth(spark):
+    packages = spark.createDataFrame([(f"n{i}", "h", [f"n{i + 1}"]) for i in range(4)], "id string, hash string, deps array<string>")
+    assert G.dependency_closure(packages, "n0", None).count() == 5 and G.dependency_closure(packages, "n0", 4).count() == 5
+    with pytest.raises(ValueError, match="deeper"):
+        G.dependency_closure(packages, "n0", 3)
+
+
 def test_marks_that_touch_digits_end_nothing(spark):
     df = spark.createDataFrame([("It is 3.5 m. Then 7. No! Up..5 a",), (None,)], "t string")
     assert [r[0] for r in df.select(T.segments(F.col("t"))).collect()] == [["It is 3.5 m", "Then 7. No", "Up", ".5 a"], None]
