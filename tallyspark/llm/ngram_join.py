@@ -24,7 +24,7 @@ COUNTED = 1 << 21
 SPAN = 4
 #: Most keys that are broadcast when the index is thinned to lists of two sets or more; beyond it they are joined.
 SHARED = 2_000_000
-#: Intersections of half hashes this near to the limit are counted again with whole hashes.
+#: Intersections of half hashes this near to the limit, and twice the collisions within both sets, are counted again with whole hashes.
 MARGIN = 2
 #: Bits of a set's parity map.
 BITS = 256
@@ -120,8 +120,10 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Ite
             a, b = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
             spare = int((b[at] == a).sum()) - overlap(size_a, size_b, percent)
-            keep.append(spare >= (0 if whole else -MARGIN))
-            sure.append(whole or spare > MARGIN)
+            # Halves that collide are as many between two sets of a size as within both.
+            margin = 0 if whole else MARGIN + 2 * (size_a - len(a) + size_b - len(b))
+            keep.append(spare >= -margin)
+            sure.append(whole or spare > margin)
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
 
 

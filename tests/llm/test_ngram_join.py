@@ -6,7 +6,7 @@ import pytest
 
 from tallyspark.llm._common import NON_SPACE, shingle_hashes, steps, word_hashes, word_spans
 from tallyspark.llm._graph import components
-from tallyspark.llm.ngram_join import overlap, shingle_sets, similar_sets
+from tallyspark.llm.ngram_join import _linked, overlap, shingle_sets, similar_sets
 
 
 def plain_set(text, n):
@@ -37,6 +37,13 @@ def brute(rows, n, percent):
     return [(d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
+def test_collisions_of_half_hashes_are_counted_again():
+    """Sets of 100 equal shingles, five halves of which collide."""
+    halves = np.arange(95, dtype=np.uint32).tobytes()
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "set_a": [halves], "set_b": [halves], "size_a": [100], "size_b": [100]})
+    assert [b.to_pylist() for b in _linked(iter([batch]), percent=100, whole=False)] == [[{"a": 1, "b": 2, "sure": False}]]
+
+
 def _corpus(seed, copies=40, edits=7):
     rng = random.Random(seed)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(200)]
