@@ -46,17 +46,26 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8) and all that link with nothing.
 
-    Rows that repeat a doc_id are one document and stay once; rows without a
+    Rows that repeat a doc_id and its text are one document and stay once;
+    other texts of one doc_id are documents of their own. Rows without a
     doc_id stay.
     """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_duplicates_of_reused_ids(docs)
     joined = similar_sets(docs, n=5, percent=80)
     gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(_small(gone), "doc_id", "left_anti")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(_small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(_small(twice), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _near_duplicates_of_reused_ids(docs: DataFrame) -> DataFrame:
+    """The filter with doc_id and text hash as the id; one without a doc_id comes last."""
+    (own,) = columns_free_of(docs, "_own")
+    keyed = docs.withColumn(own, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version")))
+    joined = similar_sets(keyed.select(F.col(own).alias("doc_id"), "text"), n=5, percent=80)
+    gone = joined.where("not doc_id.none and doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = keyed.join(_small(gone), own, "left_anti")
+    once = kept.where("doc_id is not null").dropDuplicates([own])
+    return kept.where("doc_id is null").unionByName(once).select(*docs.columns)
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -59,6 +59,14 @@ def test_run(spark, stages):
     assert got.equals(stages[5].select(*key).toPandas().sort_values(key).reset_index(drop=True))
 
 
+def test_near_duplicates_of_a_reused_id(spark):
+    """Of two texts of id 5 one is a copy of id 1; the other stays."""
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = spark.createDataFrame([(1, one), (5, one), (5, two), (5, two), (None, one), (6, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in P.near_duplicate_filter(spark, rows, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (5, two), (None, one), (6, None)], key=str)
+
+
 def test_stages_take_hard_rows(spark, tmp_path):
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     text = " ".join(f"word{i}" for i in range(40))
