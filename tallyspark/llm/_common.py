@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.sources.lineage import cut, shared_folder
 from tallyspark.sources.tables import table
@@ -19,10 +21,46 @@ __all__ = ["cut", "shared_folder", "table"]
 STEP_BYTES = 1 << 20
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of plans that nothing refers to any more, which otherwise stay until the driver's JVM happens to collect."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own setting that removes an execution's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Table(NamedTuple):
+    """Rows written to the shared folder, how many they are, and what else was asked of them."""
+
+    rows: DataFrame
+    count: int
+    path: str
+    also: dict
+
+
+def write_table(df: DataFrame, **also: Column) -> Table:
+    """Cuts a lineage by a Parquet table in the shared folder; counts the rows (and `also`, aggregates) on the way.
+
+    The files outlive executors, and the shuffle files of the plan that made
+    them are no longer needed, so they go at once.
+    """
+    spark = df.sparkSession
+    path, seen = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", Observation()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in also.items()]).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return Table(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path, seen.get)
+
+
+def drop_tables(*tables: Table) -> None:
+    """Deletes tables that no plan reads any more."""
+    for t in tables:
+        path = t.rows.sparkSession._jvm.org.apache.hadoop.fs.Path(t.path)
+        path.getFileSystem(t.rows.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(t: Table, most: int) -> DataFrame:
+    """Marks a table for a broadcast while it has at most so many rows; beyond that it is joined by a shuffle."""
+    return F.broadcast(t.rows) if t.count <= most else t.rows
 
 
 def columns_free_of(df: DataFrame, *names: str) -> list[str]:

@@ -7,100 +7,113 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm._common import cut, release
+from tallyspark.llm._common import Table, drop_tables, small, write_table
 
+#: Comparisons for each entry up to which all pairs across components are tried at once.
+LOAD = 20
+#: Most rows (two longs each) of a relation of nodes that is broadcast.
+FEW = 500_000
 
-#: Rows a partition of a small relation may have; keeps tiny shuffles from being cut into very many files.
-FEW = 100_000
 
+def components(edges: DataFrame) -> Table:
+    """Edges (a, b) from each node to the smallest node reachable from it; that one itself is in no row as a.
 
-def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpoint in as few partitions as its rows fill, and how many rows it has."""
-    df = cut(df)
-    rows = df.count()
-    if rows > FEW // 10:
-        release(df.sparkSession)
-    return df.coalesce(rows // FEW + 1), rows
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the smallest node reachable.
-
-    Alternates the large-star and small-star steps until every edge (a, b)
-    leads from a node to the root of its star. Each step is a minimum per node
-    (combined map-side) joined back to the edges, so a node with very many
-    neighbours is never gathered; every round is checkpointed. Null ends and
-    loops are dropped; no edges give no rows.
+    Alternates the large-star and small-star steps until they change nothing.
+    Each step is a minimum per node (combined map-side) joined back to the
+    edges, so a node with very many neighbours is never gathered; every round
+    is written. Null ends and loops are dropped; no edges give no rows.
     """
-    edges, rows = cut_small(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while rows:
-        few = rows // FEW + 1
-        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("as_a"), F.lit(0).alias("as_b")).union(edges.select("b", F.lit(0), F.lit(1)))
-        ends = ends.groupBy("n").agg(F.sum("as_a").alias("as_a"), F.sum("as_b").alias("as_b"))
-        if ends.where("as_a > 1 or (as_a > 0 and as_b > 0)").isEmpty():
-            break
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).coalesce(few)
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(few).distinct().coalesce(few)
-        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few)
-        joined = large.join(low, "a").coalesce(few)
-        small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b"), F.col("m")).toDF("a", "b"))
-        edges, rows = cut_small(small.coalesce(few).distinct())
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
-
-
-def linked_components(entries: DataFrame, traits: DataFrame, near: Callable[[DataFrame, DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the graph whose links are the verified pairs among nodes that share a key.
+    print_of = F.bit_xor(F.xxhash64("a", "b"))
+    now = write_table(_stars(edges.where("a <> b")), print=print_of)
+    while now.count:
+        then = write_table(_stars(now.rows), print=print_of)
+        drop_tables(now)
+        if (then.count, then.also["print"]) == (now.count, now.also["print"]):
+            return then
+        now = then
+    return now
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One large-star step and one small-star step."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    ends = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+    return ends.select("e.*").where("a <> b").distinct()
+
+
+def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame], DataFrame], verify: Callable[[Table], Table]) -> Table:
+    """The components, as edges to their smallest nodes, of the graph whose links are the verified pairs among nodes that share a key.
 
     entries: (key, block, node, ...) with keys of two nodes or more; traits:
     (node, ...) that near() also needs. near(left, right) joins two such sets
-    on what can link, giving (a, b); verify(pairs) keeps those that do link.
+    on what can link, giving (a, b); screen(pairs) keeps those of (a, b) that
+    can; verify(pairs) keeps those that do link.
 
     1. Each node is tried against one centre: of the nodes that have most
        keys in common with others in its keys (in a group of near copies those
        nearest to what they were copied from), the one it shares most keys with.
-    2. In keys that still hold several components, each node outside the
-       largest is tried against one member of it, again the one met most often
-       among those that a hash picks for the keys.
-    3. Nodes that are still outside are tried against all of other components.
+    2. What stands in keys with several components is open. While pairs across
+       components are many for the entries there are, each node outside its
+       key's largest component is tried against one member of that.
+    3. Once they are few, or a round of 2 doesn't halve them, all are tried.
 
     A pair is left untried only if both ends lie in one component already, so
     the components are those of all links, while a group that is joined early
     costs nothing more, whatever its size.
     """
+    tried = [write_table(screen(_to_centres(entries.rows)))]
+    links = verify(tried[0])
+    placed = components(links.rows)
+    last, load = False, float("inf")
+    while not last:
+        open_ = write_table(_open(entries.rows, placed, traits), load=F.sum(F.when(F.col("component") != F.col("largest"), F.col("entries")).otherwise(0)))
+        if not open_.count:
+            drop_tables(open_)
+            break
+        outside = open_.rows.where("component <> largest")
+        last = not links.count or open_.also["load"] <= LOAD * entries.count or open_.also["load"] > load / 2
+        load = open_.also["load"]
+        if last:
+            pairs = near(outside, open_.rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        else:
+            pairs = _met_most(near(outside, _one_of_the_largest(open_.rows)))
+        for t in tried:
+            pairs = pairs.join(t.rows.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
+        tried.append(write_table(pairs))
+        drop_tables(open_, links)
+        links = verify(tried[-1])
+        if links.count:
+            before, placed = placed, components(placed.rows.union(links.rows.select("a", "b")))
+            drop_tables(before)
+    drop_tables(links, *tried)
+    return placed
+
+
+def _to_centres(entries: DataFrame) -> DataFrame:
+    """(a, b): each node and the one centre that it shares most keys with."""
     shared = entries.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
     ranked = entries.select("key", "block", "node").join(shared, "node")
     centres = ranked.groupBy("key", "block").agg(F.max(F.struct("keys", "node")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    first = entries.select("key", "block", "node").join(centres.select("key", "block", F.col("top.node").alias("centre")), ["key", "block"])
-    first = _met_most(first.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    tried, _ = cut_small(first)
-    del first, ranked, centres, shared
-    found, _ = cut_small(verify(tried))
-    for last in (False, True):
-        placed = entries.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
-        split = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        open_ = placed.join(split, "key").join(traits, "node").persist()
-        outside = open_.where("component <> largest")
-        if last:
-            rest = near(outside, open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            rest = _met_most(near(outside, _one_of_the_largest(open_)))
-        tried, rows = cut_small(rest)
-        open_.unpersist()
-        del rest, outside, open_, split, sizes, placed
-        release(tried.sparkSession)
-        if rows:
-            found, _ = cut_small(found.union(verify(tried)))
-    return components(found)
+    pairs = entries.select("key", "block", "node").join(centres.select("key", "block", F.col("top.node").alias("centre")), ["key", "block"])
+    return _met_most(pairs.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+
+
+def _open(entries: DataFrame, placed: Table, traits: DataFrame) -> DataFrame:
+    """The entries of keys with several components: theirs, the largest one of the key, and how many entries the key has."""
+    named = small(placed, FEW).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    known = entries.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.sum("held").alias("entries"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    return known.join(split, "key").join(traits, "node")
 
 
 def _met_most(pairs: DataFrame) -> DataFrame:
-    """For each a, the b it is paired with most often, as one pair in order."""
+    """For each a, the b it is paired with most often."""
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    best = counted.groupBy("a").agg(F.max(F.struct("met", "b")).alias("best"))
-    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    return counted.groupBy("a").agg(F.max(F.struct("met", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
 def _one_of_the_largest(open_: DataFrame) -> DataFrame:

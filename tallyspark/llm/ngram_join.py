@@ -8,24 +8,25 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm._common import NON_SPACE, cut, release, shingle_hashes, steps, word_hashes, word_spans
-from tallyspark.llm._graph import cut_small, linked_components
+from tallyspark.llm._common import NON_SPACE, Table, drop_tables, shingle_hashes, small, steps, word_hashes, word_spans, write_table
+from tallyspark.llm._graph import linked_components
 
 #: Frequent shingles whose order the workers know; others count as rare. A bound on a broadcast, not on the search: any order gives all links.
 FREQUENT = 500_000
-#: Most wanted documents that are broadcast as ids; beyond it they are joined.
-WANTED = 1_000_000
+#: Most documents asked for that are broadcast (some 60 bytes each); beyond it they are joined.
+WANTED = 400_000
 #: Shingles of one map task that are counted at a time.
 COUNTED = 1 << 21
 #: Blocks of sizes that one index list holds.
 SPAN = 4
-#: Most keys that are broadcast when the index is thinned to lists of two sets or more; beyond it they are joined.
+#: Most keys (8 bytes each) that are broadcast when the index is thinned to lists of two sets or more; beyond it they are joined.
 SHARED = 2_000_000
-#: Intersections of half hashes this near to the limit, and twice the collisions within both sets, are counted again with whole hashes.
-MARGIN = 2
+#: Sets that are compared with one centre in one group of rows; a larger group is split.
+GROUP = 500
 #: Bits of a set's parity map.
 BITS = 256
 
@@ -71,14 +72,15 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts as far as the tasks saw them twice."""
     counted = docs.select("text").mapInArrow(partial(_count, n=n), "token long, held long")
     level = F.floor(F.log2("held") * 8).cast("int").alias("level")
-    summed = cut(counted.groupBy("token").agg(F.sum("held").alias("held")).where("held > 9").withColumn("level", level))
+    summed = write_table(counted.groupBy("token").agg(F.sum("held").alias("held")).where("held > 9").withColumn("level", level))
     least, total = 0, 0
-    for r in sorted(summed.groupBy("level").count().collect(), reverse=True):
+    for r in sorted(summed.rows.groupBy("level").count().collect(), reverse=True):
         total += r["count"]
         if total > FREQUENT:
             break
         least = r["level"]
-    top = summed.where(F.col("level") >= least).limit(FREQUENT).toArrow()
+    top = summed.rows.where(F.col("level") >= least).limit(FREQUENT).toArrow()
+    drop_tables(summed)
     tokens, held = top["token"].to_numpy().view(np.uint64), top["held"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], held[order]
@@ -100,43 +102,50 @@ def _profile(batches: Iterator[pa.RecordBatch], frequent, n: int, percent: int)
             prefixes.append(ranked.view(np.int64))
             odd = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1
             bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "prefix", "bits"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "version", "n_shingles", "digest", "prefix", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _asked_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The set of each text once for each comparison that asks for it."""
     for batch in batches:
-        sets, same = [], []
-        for tokens, digest in zip(shingle_sets(batch["text"], n), batch["digest"], strict=True):
-            same.append(digest_of(tokens.tobytes()) == digest.as_py())
-            sets.append((tokens if whole else np.unique((tokens >> np.uint64(32)).astype(np.uint32))).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(same, pa.bool_()))
+        asks = batch["asks"]
+        held = pc.list_value_length(asks).to_numpy(zero_copy_only=False)
+        sets = pa.array([tokens.tobytes() for tokens in shingle_sets(batch["text"], n)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*asks.flatten().flatten(), sets.take(pa.array(np.repeat(np.arange(len(held)), held)))], ["centre", "part", "node", "shingles"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    kind = np.uint64 if whole else np.uint32
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the sets that link with the centre of their group, which comes first in it and has no node."""
+    now, b = None, np.zeros(0, np.uint64)
     for batch in batches:
-        keep, sure = [], []
-        for x, y, size_a, size_b in zip(batch["set_a"], batch["set_b"], batch["size_a"].to_pylist(), batch["size_b"].to_pylist(), strict=True):
-            a, b = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            spare = int((b[at] == a).sum()) - overlap(size_a, size_b, percent)
-            # Halves that collide are as many between two sets of a size as within both.
-            margin = 0 if whole else MARGIN + 2 * (size_a - len(a) + size_b - len(b))
-            keep.append(spare >= -margin)
-            sure.append(whole or spare > margin)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _compared(docs: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
-    """(a, b, sure) of the pairs whose sets link: by whole hashes, or by their upper halves with those near the limit marked unsure."""
-    if whole:
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted, _ = cut_small(wanted.join(asked, "node"))
-    texts = _texts_of(docs, wanted).mapInArrow(partial(_sets, n=n, whole=whole), "node long, shingles binary")
-    # One row per node even where rows repeat; an aggregate of the same rows, not a choice.
-    texts = texts.groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted.select("node", "size"), "node")
-    both = pairs.join(texts.toDF("a", "set_a", "size_a"), "a").join(texts.toDF("b", "set_b", "size_b"), "b")
-    return both.mapInArrow(partial(_linked, percent=percent, whole=whole), "a long, b long, sure boolean")
+        found = []
+        for group, node, held in zip(zip(batch["centre"].to_pylist(), batch["part"].to_pylist(), strict=True), batch["node"].to_pylist(), batch["shingles"], strict=True):
+            a = np.frombuffer(held.as_py(), np.uint64)
+            if node is None:
+                now, b = group, a
+            elif group == now and int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) >= overlap(len(a), len(b), percent):
+                found.append((node, group[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _compared(docs: DataFrame, nodes: DataFrame, pairs: Table, n: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose whole sets link.
+
+    Sets meet in the group of b, in parts of about GROUP, sorted with b's own
+    set first; each is read again from its document, so only those compared
+    are shuffled.
+    """
+    parts = pairs.rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    members = pairs.rows.join(parts, "b").select(F.col("a").alias("asked"), F.struct(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.col("a").alias("node")).alias("ask"))
+    centres = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("asked"), F.struct(F.col("b").alias("centre"), "part", F.lit(None).cast("long").alias("node")).alias("ask"))
+    asked = members.union(centres).groupBy("asked").agg(F.collect_list("ask").alias("asks"))
+    asked = asked.join(nodes.select("node", "rep"), F.col("asked") == F.col("node")).select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.version").alias("version"), "asks")
+    if 2 * pairs.count <= WANTED:
+        asked = F.broadcast(asked)
+    same = docs["doc_id"].eqNullSafe(asked["doc_id"]) & (docs["version"] == asked["version"])
+    sets = docs.join(asked, same).select("text", "asks").mapInArrow(partial(_asked_sets, n=n), "centre long, part int, node long, shingles binary")
+    groups = sets.repartition("centre", "part").sortWithinPartitions("centre", "part", F.asc_nulls_first("node"))
+    return groups.mapInArrow(partial(_linked, percent=percent), "a long, b long")
 
 
 def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -158,27 +167,27 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     centre of a list, what that component answers holds for it too, and only
     pairs across components are looked at (see linked_components). Parity
     bitmaps, an upper bound of the overlap, screen pairs before the whole sets
-    are compared. No link is lost by any of these.
+    are compared, with all 64 bits of their hashes. No link is lost by any of
+    these, whatever the length of a text.
     """
     session = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
     frequent = session.sparkContext.broadcast(frequent_shingles(docs, n))
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, prefix array<long>, bits array<long>"
-    rows = cut(docs.mapInArrow(lambda it: _profile(it, frequent, n, percent), kinds))
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, n_shingles long, digest binary, prefix array<long>, bits array<long>"
+    rows = write_table(docs.mapInArrow(lambda it: _profile(it, frequent, n, percent), kinds))
     frequent.unpersist()
-    filled = rows.where("digest is not null")
-    nodes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep")
+    nodes = write_table(rows.rows.where("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
     # A block spans a factor of 100 / percent in size, so what links is of one block or of neighbouring ones. The index
     # has a list for each shingle and SPAN blocks; sets of a span's first block stand in the span below too.
     size_block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    listed = nodes.select(F.posexplode("prefix").alias("position", "shingle"), "node", F.col("size").cast("int").alias("size"), size_block.alias("block"))
+    listed = nodes.rows.select(F.posexplode("prefix").alias("position", "shingle"), "node", F.col("size").cast("int").alias("size"), size_block.alias("block"))
     spans = F.array_distinct(F.array(F.floor(F.col("block") / SPAN), F.floor((F.col("block") - 1) / SPAN)))
     listed = listed.withColumn("span", F.explode(spans)).select(F.xxhash64("shingle", "span").alias("key"), "block", "node", "size", "position")
-    shared, keys = cut_small(listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"))
-    entries = cut(listed.join(F.broadcast(shared) if keys <= SHARED else shared, "key"))
-    release(session)
+    shared = write_table(listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"))
+    entries = write_table(listed.join(small(shared, SHARED), "key"))
     words = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITS // 64)]
-    traits = nodes.select("node", *words)
+    traits = nodes.rows.select("node", *words)
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
         cols = ["node", "size", "position", "component", "block", *traits.columns[1:]]
@@ -187,21 +196,18 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         near_blocks = F.abs(F.col("block_x") - F.col("block_y")) <= 1
         return x.join(y, (x["key"] == y["key"]) & near_blocks & can).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), *[w.alias(f"bits{i}_{c}") for i, w in enumerate(words)])
-        screened = pairs.join(side("a"), "a").join(side("b"), "b").where(_maps_allow("a", "b", percent)).select("a", "b")
-        screened, _ = cut_small(screened)
-        wanted, _ = cut_small(screened.select(F.col("a").alias("node")).union(screened.select("b")).distinct().join(nodes.select("node", "rep", "digest", "size"), "node"))
-        compared, _ = cut_small(_compared(docs, wanted, screened, n, percent, whole=False))
-        unsure = compared.where("not sure").select("a", "b")
-        return compared.where("sure").union(_compared(docs, wanted, unsure, n, percent, whole=True)).select("a", "b")
-
-    joined = linked_components(entries, traits, near, verify)
-    placed = nodes.select("node", "rep", "digest").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def screen(pairs: DataFrame) -> DataFrame:
+        side = lambda c: nodes.rows.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), *[w.alias(f"bits{i}_{c}") for i, w in enumerate(words)])
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(_maps_allow("a", "b", percent)).select("a", "b")
+
+    joined = linked_components(entries, traits, screen, near, lambda pairs: write_table(_compared(docs, nodes.rows, pairs, n, percent)))
+    drop_tables(shared, entries)
+    placed = nodes.rows.select("node", "digest", F.col("rep.doc_id").alias("rep")).join(joined.rows.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = placed.join(smallest, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("digest").alias("set_digest"))
+    rows = rows.rows.select("doc_id", "n_shingles", "digest")
+    out = rows.where("digest is not null").join(classes, "digest").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("digest").alias("set_digest"))
+    return out.unionByName(rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("digest").alias("set_digest")))
 
 
 def _need(x: str, y: str, percent: int) -> Column:
@@ -217,10 +223,3 @@ def _maps_allow(x: str, y: str, percent: int) -> Column:
 def _possible(n_x: str, n_y: str, i: str, j: str, percent: int) -> Column:
     """Whether sets that first meet at these positions can still share enough."""
     return F.least(F.col(n_x) - F.col(i), F.col(n_y) - F.col(j)) >= _need(n_x, n_y, percent)
-
-
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, digest, text) of the documents that stand for the wanted nodes, without shuffling texts while the ids are few."""
-    if wanted.limit(WANTED + 1).count() <= WANTED:
-        wanted = F.broadcast(wanted)
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "digest", "text")

@@ -37,11 +37,30 @@ def brute(rows, n, percent):
     return [(d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
-def test_collisions_of_half_hashes_are_counted_again():
-    """Sets of 100 equal shingles, five halves of which collide."""
-    halves = np.arange(95, dtype=np.uint32).tobytes()
-    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "set_a": [halves], "set_b": [halves], "size_a": [100], "size_b": [100]})
-    assert [b.to_pylist() for b in _linked(iter([batch]), percent=100, whole=False)] == [[{"a": 1, "b": 2, "sure": False}]]
+def test_links_of_very_long_sets_at_the_limit():
+    """A million words on each side, the intersection just at and just below what links."""
+    centre = np.arange(1_000_000, dtype=np.uint64) << np.uint64(20)
+    need = overlap(1_000_000, 1_000_000, 90)
+    at, below = (np.sort(np.concatenate([centre[:k], centre[k:] + np.uint64(1)])) for k in (need, need - 1))
+    batch = pa.RecordBatch.from_pydict({"centre": [7] * 3, "part": [0] * 3, "node": [None, 1, 2], "shingles": [x.tobytes() for x in (centre, at, below)]})
+    assert [b.to_pylist() for b in _linked(iter([batch]), percent=90)] == [[{"a": 1, "b": 7}]]
+
+
+def test_a_long_text_at_the_limit(spark):
+    """Texts of 300,000 words, one linked and one just not."""
+    words = [f"w{i}" for i in range(300_000)]
+    need = overlap(len(words), len(words), 80)
+    texts = [" ".join([*words[:k], *[f"x{k}.{i}" for i in range(len(words) - k)]]) for k in (len(words), need, need - 1)]
+    out = similar_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=1, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out)[:2] == [(0, 0), (1, 0)]
+    assert brute([(i, t) for i, t in enumerate(texts)], 1, 80) == sorted((r.doc_id, r.n_shingles, r.component_id) for r in out)
+
+
+def test_null_ids_and_reused_ids(spark):
+    """Texts without an id or with one id are told apart by their hash."""
+    rows = [(None, f"t{i} a b c d e f g") for i in range(30)] + [(1, "p q r s t u v w x y"), (1, "p q r s t u v w x z"), (2, "p q r s t u v w x y z")]
+    out = similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=80).collect()
+    assert {r.component_id for r in out if r.doc_id} == {1} and all(r.component_id is None for r in out if r.doc_id is None) and len(out) == 33
 
 
 def _corpus(seed, copies=40, edits=7):
@@ -94,9 +113,9 @@ def test_components(spark):
             low = min(root[a], root[b])
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {n: c for n, c in root.items() if n in found} and all(root[a] == found[a] for a, b in edges if a != b)
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    found = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).rows.collect()}
+    assert found == {n: c for n, c in root.items() if n != c}
+    assert components(spark.createDataFrame([], "a long, b long")).count == 0
 
 
 def test_hashes_follow_words_alone():
