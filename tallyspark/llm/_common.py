@@ -21,8 +21,8 @@ __all__ = ["cut", "shared_folder", "table"]
 STEP_BYTES = 1 << 20
 
 
-#: Spark's own setting that removes an execution's shuffle files as soon as it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings while a table is written: shuffle files go as soon as the execution has ended, and Python workers get few whole texts at a time.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 class Table(NamedTuple):
@@ -42,12 +42,14 @@ def write_table(df: DataFrame, **also: Column) -> Table:
     """
     spark = df.sparkSession
     path, seen = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", Observation()
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in also.items()]).write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return Table(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path, seen.get)
 
 
