@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm._common import Table, drop_tables, small, write_table
 
 #: Comparisons for each entry up to which all pairs across components are tried at once.
-LOAD = 2
+LOAD = 5
 #: Most rows (two longs each) of a relation of nodes that is broadcast.
 FEW = 500_000
 
