@@ -18,7 +18,7 @@ from tallyspark.sources.tables import table
 __all__ = ["cut", "shared_folder", "table"]
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 #: Spark's own settings while a table is written: shuffle files go as soon as the execution has ended, and Python workers get few whole texts at a time.
