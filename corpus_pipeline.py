@@ -19,12 +19,25 @@ from tallyspark.llm.ngram_join import similar_sets
 from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.quality import learn_quality, score_quality
 
-#: Removed ids that are broadcast at most; more are joined.
+#: Removed ids (8 bytes each) that are broadcast at most; more are joined.
 REMOVED_IDS = 2_000_000
+#: Rows that a Python worker gets at a time: whole texts, so that few are in memory at once.
+BATCH = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality ranking, taught by labels, predicts as 0."""
+    """Drops what the quality ranking, taught by labels, predicts as 0.
+
+    A null or empty text has a score like any other and goes or stays by it;
+    rows that repeat are judged alike; without labels, or with those of one
+    class only, the model decides as learn_quality says. An empty table gives
+    no rows; all columns stay as they are, whatever their names.
+    """
+    _small_batches(spark)
     columns = docs.columns
     (predicted,) = columns_free_of(docs, "predicted")
     model = learn_quality(docs, table(spark, sf_dir, "labels"))
@@ -32,7 +45,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of texts; a document of which nothing but blank or bare lines is left goes."""
+    """Takes repeated lines out of texts; a document of which nothing but blank or bare lines is left goes.
+
+    Texts in which nothing repeats, null and empty ones stay as they are;
+    n_chars, if there is such a column, follows the text. The rest is as
+    dedup_lines says; all columns stay, whatever their names.
+    """
+    _small_batches(spark)
     columns = docs.columns
     removed = columns_free_of(docs, "n_lines", "n_removed")[1]
     done = dedup_lines(docs, percent=80)
@@ -50,6 +69,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     other texts of one doc_id are documents of their own. Rows without a
     doc_id stay.
     """
+    _small_batches(spark)
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return _near_duplicates_of_reused_ids(docs)
     joined = similar_sets(docs, n=5, percent=80)
@@ -74,13 +94,23 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a ten-word window (or a whole shorter item) of the benchmark."""
+    """Drops documents that hold a ten-word window (or a whole shorter item) of the benchmark.
+
+    A null or wordless text holds none and stays, as does all else where the
+    benchmark is empty; rows that repeat are judged alike; all columns stay.
+    """
+    _small_batches(spark)
     spans = columns_free_of(docs, "hit_spans")[0]
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where(F.size(spans) == 0).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: a row for each piece of a document, with its place."""
+    """Sequences of 2048 tokens: a row for each piece of a document, with its place.
+
+    A null text is packed as an empty one, rows that repeat are packed each,
+    an empty table gives no rows; see best_fit_packing.
+    """
+    _small_batches(spark)
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), room=2048)
 
 
@@ -92,7 +122,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: No SQL: the classifier is learned and SimHash links lines; tests hold the stages against brute force.
+#: No SQL: the classifier is learned and keys of hashes find lines; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
