@@ -129,11 +129,11 @@ def low_entropy(df: DataFrame, content: str, least: int = 32) -> DataFrame:
 
 
 def revocation(df: DataFrame, now: str, max_age_days: int) -> DataFrame:
-    """Adds the state of a revocation list: not_yet_valid, expired, stale, revoked or fresh, in this order."""
+    """Adds the state of a revocation list: not_yet_valid, expired (only after expires_at itself), stale, revoked or fresh, in this order."""
     at = F.lit(now).cast("timestamp")
     state = (
         F.when(F.col("issued_at") > at, "not_yet_valid")
-        .when(F.col("expires_at").isNotNull() & (F.col("expires_at") <= at), "expired")
+        .when(F.col("expires_at").isNotNull() & (F.col("expires_at") < at), "expired")
         .when(F.col("issued_at") + F.expr(f"interval {max_age_days} days") < at, "stale")
         .when(F.col("not_after").isNotNull() & (F.col("not_after") <= at), "revoked")
     )

@@ -78,7 +78,7 @@ def chain_head(df: DataFrame, chain: list[str], order: Column, leaf: Column, gen
 
 
 def merkle_root(leaves: Column, leaf_prefix: str = "01", node_prefix: str = "00", levels: int = 20) -> Column:
-    """The root over an array of hex digests: prefixed leaves, pairs hashed level by level, an odd last one paired with itself; no leaves give the hash of nothing.
+    """The root over an array of hex digests: prefixed leaves, pairs hashed level by level, an odd last one paired with itself; no leaves give the hash of the leaf prefix alone.
 
     At most 2^levels leaves; more fail.
     """
@@ -91,7 +91,7 @@ def merkle_root(leaves: Column, leaf_prefix: str = "01", node_prefix: str = "00"
         return F.when(F.size(xs) > 1, joined).otherwise(xs)
 
     top = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), nodes, lambda xs, _: up(xs))
-    return F.when(F.size(leaves) == 0, F.sha2(F.lit("").cast("binary"), 256)).when(F.size(top) > 1, F.raise_error(F.lit("too many leaves"))).otherwise(F.get(top, F.lit(0)))
+    return F.when(F.size(leaves) == 0, F.sha2(F.unhex(F.lit(leaf_prefix)), 256)).when(F.size(top) > 1, F.raise_error(F.lit("too many leaves"))).otherwise(F.get(top, F.lit(0)))
 
 
 def ranked(df: DataFrame, order: list[Column], advance: int) -> DataFrame:

@@ -217,7 +217,7 @@ def q_attribution_mode(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT o_orderkey, o_orderdate AS i, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 200 DAY END AS e, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '1996-01-01' END AS n FROM orders)
-SELECT o_orderkey, CASE WHEN i > TIMESTAMP '1996-06-01' THEN 'not_yet_valid' WHEN e <= TIMESTAMP '1996-06-01' THEN 'expired' WHEN i + INTERVAL 900 DAY < TIMESTAMP '1996-06-01' THEN 'stale' WHEN n <= TIMESTAMP '1996-06-01' THEN 'revoked' ELSE 'fresh' END AS state FROM r
+SELECT o_orderkey, CASE WHEN i > TIMESTAMP '1996-06-01' THEN 'not_yet_valid' WHEN e < TIMESTAMP '1996-06-01' THEN 'expired' WHEN i + INTERVAL 900 DAY < TIMESTAMP '1996-06-01' THEN 'stale' WHEN n <= TIMESTAMP '1996-06-01' THEN 'revoked' ELSE 'fresh' END AS state FROM r
 """)
 def q_revocation(spark, sf_dir):
     at = F.col("o_orderdate").cast("timestamp")
