@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tallyspark.llm._common import columns_free_of, cut
 
@@ -66,8 +67,8 @@ def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.0005, group:
     """
     group = F.coalesce(F.col("text"), F.lit("")) if group is None else group
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1 if size is None else size
-    key, weight, cell, part, shard, slot = columns_free_of(docs, "_key", "_weight", "_cell", "_part", "shard", "slot")
-    keyed = docs.withColumns({key: F.xxhash64(group), weight: size, part: F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id",) if c in docs.columns] or [F.lit(0)], F.lit("part")), F.lit(PARTS)).cast("int")})
+    key, weight, cell, part, shard, slot, own_key, own_part, home, own_range = columns_free_of(docs, "_key", "_weight", "_cell", "_part", "shard", "slot", "_k", "_p", "_home", "_range")
+    keyed = docs.withColumns({key: F.xxhash64(group), weight: size, part: _part_of(docs)})
     keyed = keyed.withColumn(cell, F.shiftrightunsigned(key, 48).cast("int"))
 
     groups = cut(keyed.groupBy(key, cell).agg(F.sum(weight).alias("total")))
@@ -91,21 +92,39 @@ def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.0005, group:
 
     session = docs.sparkSession
     homes = [(k, -1, s) for (k, _), s in zip(whole, whole_shards, strict=True)] + [(k, p, s) for (k, p, _), s in zip(pieces, piece_shards, strict=True)]
-    by_group = session.createDataFrame(homes, f"`{key}` long, _p int, _home int")
+    by_group = session.createDataFrame(homes, f"`{own_key}` long, `{own_part}` int, `{home}` int")
     by_cell = [0] * CELLS
     for (c, _), s in zip(cells, cell_shards, strict=True):
         by_cell[c] = s
-    by_range = session.createDataFrame(list(enumerate(by_cell)), f"`{cell}` int, _range int")
-    same_part = (F.col("_p") == -1) | (F.col("_p") == F.col(part))
-    placed = keyed.join(F.broadcast(by_group), (keyed[key] == by_group[key]) & same_part, "left").drop(by_group[key])
-    placed = placed.join(F.broadcast(by_range), cell).withColumn(shard, F.coalesce("_home", "_range")).drop("_home", "_p", "_range")
+    by_range = session.createDataFrame(list(enumerate(by_cell)), f"`{cell}` int, `{own_range}` int")
+    same_part = (F.col(own_part) == -1) | (F.col(own_part) == F.col(part))
+    placed = keyed.join(F.broadcast(by_group), (F.col(key) == F.col(own_key)) & same_part, "left")
+    placed = placed.join(F.broadcast(by_range), cell).withColumn(shard, F.coalesce(home, own_range)).drop(home, own_key, own_part, own_range)
     return number(placed, shard, part, slot).select(*docs.columns, shard, slot)
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's values that can be written as text; the same wherever the row is read."""
+    plain = [F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return F.xxhash64(*plain, F.lit("part"))
+
+
+def _part_of(df: DataFrame) -> Column:
+    """One of PARTS by the row's own hash; rows that are equal through and through are told apart by chance, which only their balance depends on."""
+    return F.pmod(_row_hash(df), F.lit(PARTS)).cast("int")
+
+
 def number(df: DataFrame, group: str, part: str, name: str) -> DataFrame:
-    """Numbers the rows of each group from 0 without a gap; part splits a group evenly, so no task takes a whole one."""
-    counts = df.groupBy(group, part).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(group).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select(group, part, F.coalesce(before, F.lit(0)).alias("_start"))
-    within = F.row_number().over(W.partitionBy(group, part).orderBy(*[c for c in ("doc_id", "piece") if c in df.columns] or [F.lit(0)]))
-    return df.withColumn("_row", within.cast("long")).join(starts, [group, part]).withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_start", "_row")
+    """Numbers the rows of each group from 0 without a gap; part splits a group evenly, so no task takes a whole one.
+
+    Within a part the order is that of doc_id and piece, where there are such,
+    then of a hash of the row, so only rows that are equal change places when
+    a task is run again.
+    """
+    n, start, row, own_group, own_part = columns_free_of(df, "_n", "_start", "_row", "_group", "_of")
+    counts = df.groupBy(group, part).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(W.partitionBy(group).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(F.col(group).alias(own_group), F.col(part).alias(own_part), F.coalesce(before, F.lit(0)).alias(start))
+    within = F.row_number().over(W.partitionBy(group, part).orderBy(*[c for c in ("doc_id", "piece") if c in df.columns], _row_hash(df)))
+    numbered = df.withColumn(row, within.cast("long")).join(starts, (F.col(group) == F.col(own_group)) & (F.col(part) == F.col(own_part)))
+    return numbered.withColumn(name, F.col(start) + F.col(row) - 1).drop(start, row, own_group, own_part)

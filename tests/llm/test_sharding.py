@@ -67,3 +67,21 @@ def test_edges(spark):
     out = ring_shards(spark.createDataFrame(rows, kinds), shards=2)
     assert out.columns[:4] == ["doc_id", "text", "shard", "_key"] and {"shard_", "slot"} <= set(out.columns)
     assert out.count() == 4
+
+
+def test_a_group_larger_than_a_shard_without_ids(spark):
+    """Its rows are dealt by a hash of the whole row, with null ids and with none."""
+    rows = [(None, "the same text again and again", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for docs in (df, df.drop("doc_id")):
+        out = ring_shards(docs, shards=8).toPandas()
+        held = out.groupby("shard").size()
+        assert len(held) == 8 and held.max() < 1.4 * held.min()
+        assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_extra_columns_named_like_internal_ones(spark):
+    names = ["_home", "_p", "_k", "_range", "_row", "_start", "_n", "_group", "_of", "_key", "_weight"]
+    df = spark.createDataFrame([(i, f"t{i}", *range(len(names))) for i in range(9)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = ring_shards(df, shards=2)
+    assert out.columns == [*df.columns, "shard", "slot"] and all(tuple(r)[2:-2] == tuple(range(len(names))) for r in out.collect())
