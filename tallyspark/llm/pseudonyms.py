@@ -161,14 +161,24 @@ def date_parts(value: Column) -> Column:
 
 
 def date(value: Column, key: str) -> Column:
-    """A calendar date of 1700 to 2099 as another, written in the same way."""
+    """A calendar date of 1700 to 2099 as another, written in the same way.
+
+    Month before day is read only where the day is over 12, so such a date is
+    moved on until that holds again; else two written dates could share one.
+    """
 
     def body(p: Column) -> Column:
-        n = F.date_diff(p["day"], F.lit(FIRST_DAY).cast("date")).cast("long")
-        low, high = feistel(F.pmod(n, F.lit(DAY_LOW)), F.floor(n / DAY_LOW), F.lit(DAY_LOW), F.lit(DAY_HIGH), key, F.lit("date"))
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (high * DAY_LOW + low).cast("int"))
+        def move(n: Column) -> Column:
+            low, high = feistel(F.pmod(n, F.lit(DAY_LOW)), F.floor(n / DAY_LOW), F.lit(DAY_LOW), F.lit(DAY_HIGH), key, F.lit("date"))
+            return (high * DAY_LOW + low).cast("long")
+
+        day = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+        once = move(F.date_diff(p["day"], F.lit(FIRST_DAY).cast("date")).cast("long"))
+        late = lambda n: (p["order"] != "mdy") | (F.dayofmonth(day(n)) > 12)
+        # Two of five dates have an early day; a walk of 64 steps ends but for one in 10^25.
+        n = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once, lambda m, _: F.when(late(m), m).otherwise(move(m)))
         forms = {"ymd": "yyyyMMdd", "dmy": "ddMMyyyy", "mdy": "MMddyyyy"}
-        wide = F.coalesce(*[F.when(p["order"] == k, F.date_format(new, f)) for k, f in forms.items()])
+        wide = _let(day(n), lambda new: F.coalesce(*[F.when(p["order"] == k, F.date_format(new, f)) for k, f in forms.items()]))
         return refill(value, wide)
 
     return _let(date_parts(value), body)
@@ -186,7 +196,18 @@ def ipv4(value: Column, key: str) -> Column:
 
 
 def ssn(value: Column, key: str) -> Column:
-    return refill(value, permute_digits(digits_of(value), key, F.lit("ssn")))
+    """A number as another that can have been issued: area 001 to 899 without 666, group and serial not all zeros."""
+
+    def body(d: Column) -> Column:
+        area, group, serial = (F.substring(d, a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+        rank = (area - 1 - (area > 666).cast("long")) * 99 + group - 1
+        low, high = feistel(serial - 1, rank, F.lit(9999), F.lit(898 * 99), key, F.lit("ssn"))
+        new_area = F.floor(high / 99) + 1
+        new_area = new_area + (new_area > 665).cast("long")
+        parts = ((new_area, 3), (F.pmod(high, F.lit(99)) + 1, 2), (low + 1, 4))
+        return F.concat(*[F.lpad(x.cast("long").cast("string"), n, "0") for x, n in parts])
+
+    return refill(value, _let(digits_of(value), body))
 
 
 def phone(value: Column, key: str) -> Column:

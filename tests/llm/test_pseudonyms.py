@@ -2,7 +2,9 @@ import datetime
 import hashlib
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm.pseudonyms import DAY_HIGH, DAY_LOW, FIRST_DAY, ROUNDS, pseudonymise
 
@@ -117,3 +119,19 @@ def test_plan_has_no_python(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     plan = pseudonymise(docs, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_ssn_and_dates_stay_valid_and_apart(spark):
+    """Valid numbers become valid ones; no two written dates, day or month first, share a pseudonym."""
+    from tallyspark.llm.pseudonyms import date, ssn
+
+    rng = np.random.default_rng(5)
+    numbers = {f"{a:03}-{g:02}-{n:04}" for a, g, n in zip(rng.integers(1, 900, 4000), rng.integers(1, 100, 4000), rng.integers(1, 10000, 4000), strict=True) if a != 666}
+    out = [r.p for r in spark.createDataFrame([(x,) for x in sorted(numbers)], "v string").select(ssn(F.col("v"), "k").alias("p")).collect()]
+    assert len(set(out)) == len(numbers)
+    assert all(x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000" for x in out)
+    first = datetime.date(2001, 1, 1)
+    days = [first + datetime.timedelta(int(i)) for i in range(0, 1500)]
+    dates = sorted({d.strftime("%d/%m/%Y") for d in days} | {d.strftime("%m/%d/%Y") for d in days})
+    out = [r.p for r in spark.createDataFrame([(x,) for x in dates], "v string").select(date(F.col("v"), "k").alias("p")).collect()]
+    assert len(set(out)) == len(dates)
