@@ -14,6 +14,8 @@ SYSTEM = ("[SYSTEM] ", " [/SYSTEM]")
 USER = ("[INST] ", " [/INST]")
 ASSISTANT = ("<s> ", " </s>")
 OTHER = ("[ROLE=", "] ", " [/ROLE]")
+#: Deltas in which streamed_log writes a text.
+PIECES = 4
 #: A turn in the output. Escaped texts hold neither [ nor <, so a turn ends where the next such character stands.
 TURN = r"(?s)(\[SYSTEM\]|\[INST\]|<s>|\[ROLE=[^\[<\]]*\]) ([^\[<]*) (?:\[/SYSTEM\]|\[/INST\]|</s>|\[/ROLE\])"
 
@@ -71,18 +73,19 @@ def render(messages: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
     opening = F.when(role == "system", SYSTEM[0]).when(role == "user", USER[0]).when(role == "assistant", ASSISTANT[0]).otherwise(F.concat(F.lit(OTHER[0]), escape(role), F.lit(OTHER[1])))
     closing = F.when(role == "system", SYSTEM[1]).when(role == "user", USER[1]).when(role == "assistant", ASSISTANT[1]).otherwise(F.lit(OTHER[2]))
-    turn = F.struct(F.col("message").alias("message"), role.alias("role"), text.alias("text"), opening.alias("opening"), closing.alias("closing"))
-    gathered = messages.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    turns = messages.select("conv_id", "message", role.alias("role"), text.alias("text"), opening.alias("opening"), closing.alias("closing"))
+    size = F.length("opening").cast("long") + F.length("text") + F.length("closing")
+    so_far = W.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_first() for c in ("message", "role", "text")]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    turn = F.struct(F.sum(size).over(so_far).alias("end"), "role", "text", "opening", "closing")
+    gathered = turns.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["opening"], t["text"], t["closing"])), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<first:long,last:long>>").alias("spans"))
 
-    def step(done: Column, t: Column) -> Column:
-        first = done["at"] + F.length(t["opening"])
-        last = first + F.length(t["text"])
-        spans = F.when(t["role"] == "assistant", F.array_append(done["spans"], F.struct(first.alias("first"), last.alias("last")))).otherwise(done["spans"])
-        return F.struct((last + F.length(t["closing"])).alias("at"), spans.alias("spans"))
+    def span(t: Column) -> Column:
+        last = t["end"] - F.length(t["closing"])
+        return F.struct((last - F.length(t["text"])).alias("first"), last.alias("last"))
 
-    return gathered.select("conv_id", formatted.alias("formatted"), F.aggregate("turns", start, step, lambda x: x["spans"]).alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), span)
+    return gathered.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -107,3 +110,36 @@ def as_events(conversations: DataFrame) -> DataFrame:
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     message = F.row_number().over(W.partitionBy("conv_id").orderBy(*order)).cast("long")
     return conversations.select("conv_id", message.alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("op"), "role", "text")
+
+
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """A table of finished turns as the log of a chat service would hold them; folding it gives the turns back.
+
+    Each text arrives in PIECES deltas. A hash of conversation and message
+    picks turns that were first something else (the text reversed) and then
+    regenerated, with or without a text, edited, or deleted and written again,
+    and turns beside which a message was begun and withdrawn. seq numbers the
+    events of a conversation. Rows are ordered as in as_events.
+    """
+    turns = as_events(conversations).withColumn("text", F.coalesce("text", F.lit("")))
+    long = F.greatest(F.ceil(F.length("text") / PIECES), F.lit(1)).cast("int")
+    own, beside = 2 * F.col("message"), 2 * F.col("message") + 1
+
+    def event(op: str, text: Column, message: Column = own) -> Column:
+        return F.struct(message.alias("message"), F.lit(op).alias("op"), text.alias("text"))
+
+    first, nothing, draft = F.substring(F.col("text"), F.lit(1), long), F.lit(None).cast("string"), F.reverse("text")
+    rest = [event("delta", F.substring(F.col("text"), i * long + 1, long)) for i in range(1, PIECES)]
+    histories = [
+        [event("delta", draft), event("regenerate", nothing), event("delta", first), *rest],
+        [event("delta", draft), event("edit", first), *rest],
+        [event("delta", draft), event("delete", nothing), event("delta", first), *rest],
+        [event("delta", draft), event("regenerate", first), *rest],
+        [event("delta", draft, beside), event("delta", first), *rest, event("delete", nothing, beside)],
+    ]
+    kind = F.pmod(F.xxhash64("conv_id", "message"), F.lit(2 * len(histories)))
+    events = F.array(event("delta", first), *rest)
+    for i, history in enumerate(histories):
+        events = F.when(kind == i, F.array(*history)).otherwise(events)
+    log = turns.select("conv_id", F.col("message").alias("turn"), "role", F.posexplode(events).alias("at", "event"))
+    return log.select("conv_id", F.col("event.message").alias("message"), (16 * F.col("turn") + F.col("at")).alias("seq"), F.col("event.op").alias("op"), "role", F.col("event.text").alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm._common import table
-from tallyspark.llm.chat import as_events, fold_events, read_back, render
+from tallyspark.llm.chat import fold_events, read_back, render, streamed_log
 from tallyspark.llm.decontamination import decontaminate
 from tallyspark.llm.line_dedup import dedup_lines
 from tallyspark.llm.neighbours import nearest_neighbours
@@ -74,7 +74,7 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
-    read = read_back(render(fold_events(as_events(rows))))
+    read = read_back(render(fold_events(streamed_log(rows))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyspark.llm.chat import ASSISTANT, OTHER, SYSTEM, TURN, USER, as_events, fold_events, read_back, render
+from tallyspark.llm.chat import ASSISTANT, OTHER, SYSTEM, TURN, USER, as_events, fold_events, read_back, render, streamed_log
 
 KINDS = "conv_id long, turn long, role string, text string"
 
@@ -39,6 +39,25 @@ def test_edges(spark):
     assert out == {1: ["a", "a", "b"], None: [""]}
 
 
+def test_streamed_log_folds_back(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", None if t == 7 else f"turn {t} é🙂 " * (t % 5)) for c in range(30) for t in range(10)]
+    rows += [(40, 0, "user", "a"), (40, 0, "user", "a")]
+    frame = spark.createDataFrame(rows, KINDS)
+    log = streamed_log(frame)
+    assert {r.op for r in log.select("op").distinct().collect()} == {"delta", "edit", "regenerate", "delete"}
+    assert log.groupBy("conv_id", "seq").count().where("count > 1").isEmpty()
+    assert log.where("op = 'delta'").count() > 3 * len(rows)
+    plain, folded = (read_back(render(fold_events(x))).drop("formatted", "loss_spans") for x in (as_events(frame), log))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, folded.collect()))
+    assert streamed_log(frame.limit(0)).count() == 0
+
+
+def test_clashing_columns_of_a_log(spark):
+    log = spark.createDataFrame([(1, 0, 1, "delta", "user", "a", 5, True, 1), (1, 1, 1, "delta", None, "b", 6, False, 2)], "conv_id long, seq long, message long, op string, role string, text string, _at int, _reset boolean, _last int")
+    (r,) = render(fold_events(log)).collect()
+    assert r.formatted == "[INST] ab [/INST]"
+
+
 def _python_escape(text):
     return text.replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b").replace("]", "\\r")
 
