@@ -292,3 +292,48 @@ def test_declared_aggregate_and_tampering(spark):
 def test_falsifiable(spark):
     out = {r.rule_id: r.falsifiable for r in falsifiable(spark, {"a": "x > 1", "b": "x > 9", "c": "x + 1 > 2", "d": "not (x == x)", "e": "1 == 1", "f": "x >"}).collect()}
     assert out == {"a": True, "b": False, "c": None, "d": False, "e": True, "f": None}
+
+
+def test_canonical_json_sorts_and_keeps_nulls(spark):
+    import json
+
+    from tallyspark.operators.records import canonical_json
+
+    fields = {"b": "é \"q\"\n/", "a": None, "": "x"}
+    frame = spark.createDataFrame([(fields,), ({},)], "m map<string,string>")
+    got = [r[0] for r in frame.select(canonical_json(F.col("m"))).collect()]
+    assert got == [json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for m in (fields, {})]
+
+
+def test_replay_of_odd_logs(spark):
+    from tallyspark.operators.records import replay
+
+    log = [
+        ("ok", 1, "CREATE", {"a": "1", "b": "2"}), ("ok", 2, "AMEND", {"a": None}), ("ok", 3, "DELETE", {"b": "9"}),
+        ("early", 1, "AMEND", {"a": "1"}), ("early", 2, "CREATE", {"a": "2"}), ("twice", 1, "CREATE", {}), ("twice", 2, "CREATE", {}),
+        ("none", 1, "LOG", None), ("odd", 1, "CREATE", {}), ("odd", 2, None, {}), ("bare", 1, "CREATE", None), ("empty", 1, "CREATE", {}),
+    ]
+    frame = spark.createDataFrame(log, "id string, seq int, op string, patch map<string,string>")
+    got = {r.id: (r.status, r.state) for r in replay(frame, "id", ["seq"], "op", "patch").collect()}
+    assert got == {
+        "ok": ("replayed", '{"a":null,"b":"2"}'), "early": ("amend before create", None), "twice": ("second create", None), "none": ("no create", None),
+        "odd": ("unknown operation", None), "bare": ("no fields", None), "empty": ("replayed", "{}"),
+    }
+
+
+def test_key_of_two_records_fails(spark):
+    from tallyspark.operators.records import resolve_many
+
+    records = lambda *rows: spark.createDataFrame(list(rows), "id int, cites array<string>")
+    asked = lambda corpus: resolve_many(spark.createDataFrame([("B 2",), ("c",)], "cite string"), corpus, "cite", "id", "cites", ["id"]).collect()
+    with pytest.raises(Exception, match="key of two records"):
+        asked(records((1, ["b 2"]), (2, [" B  2"])))
+    assert sorted((r.cite, r.id, r.resolved) for r in asked(records((1, ["A 1", "b 2", "B 2"]), (2, ["d"])))) == [("B 2", 1, True), ("c", None, False)]
+
+
+def test_opaque_fragments_have_tags_of_their_own(spark):
+    from tallyspark.operators.records import fragments
+
+    made = ['{"kind":"opaque","source_cid":"c","kind_tag":"%s","locator":{}}' % t for t in ("mine", "opaque", "page_coord", "")] + [None, "no json"]
+    got = [r.reason for r in fragments(spark.createDataFrame([(m,) for m in made], "text string"), "text").collect()]
+    assert got == [None, "out of bounds", "out of bounds", "out of bounds", "no kind", "no kind"]
