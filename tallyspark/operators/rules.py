@@ -90,15 +90,33 @@ def resolve(df: DataFrame, corpus: DataFrame, key: str, columns: list[str]) -> D
     return df.join(known.withColumn("resolved", unique).drop("_n"), key, "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
+#: Items (two longs each) whose keys are broadcast at most; more are joined.
+MOST_KEYS = 500_000
+
+
 def quoted(items: DataFrame, docs: DataFrame, key: str, block: int = 5_000) -> DataFrame:
-    """Rows of items with rows of docs whose `whole` holds their `quote`.
+    """Rows of docs whose `whole` holds the `quote` of a row of items, with that row.
 
-    items are a stated set of quotes, tried against all docs in blocks of
-    about so many, each of which is broadcast; docs are never shuffled.
+    A text that holds a quote of five words or more, words being what stands
+    between single spaces, has the quote's second to fourth word as they are:
+    their hash finds the candidates, containment decides. Shorter quotes are
+    tried against all docs in blocks of about so many, each broadcast.
     """
-    blocks = -(-items.count() // block) or 1
-    mine = [items if blocks == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), holds(F.col("whole"), F.col("quote"))) for b in mine])
+    words = lambda c: F.split(F.col(c), " ", -1)
+    three = lambda ws, i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
+    is_long = F.coalesce(F.size(words("quote")) >= 5, F.lit(False))
+    known = items.where(is_long).withColumn("_key", three(words("quote"), F.lit(1)))
+    keys = known.select("_key").distinct()
+    hashed = docs.select(F.xxhash64("whole").alias("_text"), words("whole").alias("_words")).where(F.size("_words") >= 5)
+    in_text = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: three(F.col("_words"), i)))
+    met = hashed.select("_text", F.explode(in_text).alias("_key"))
+    met = met.join(F.broadcast(keys) if items.count() <= MOST_KEYS else keys, "_key").distinct()
+    pairs = met.join(known, "_key").drop("_key")
+    long = docs.withColumn("_text", F.xxhash64("whole")).join(pairs, "_text").where(holds(F.col("whole"), F.col("quote"))).drop("_text")
+    rest = items.where(~is_long & (F.length("quote") > 0))
+    blocks = -(-rest.count() // block)
+    mine = [rest if blocks == 1 else rest.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), holds(F.col("whole"), F.col("quote"))) for b in mine], long)
 
 
 def keyword_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, word: str) -> DataFrame:

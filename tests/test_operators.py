@@ -337,3 +337,14 @@ def test_opaque_fragments_have_tags_of_their_own(spark):
     made = ['{"kind":"opaque","source_cid":"c","kind_tag":"%s","locator":{}}' % t for t in ("mine", "opaque", "page_coord", "")] + [None, "no json"]
     got = [r.reason for r in fragments(spark.createDataFrame([(m,) for m in made], "text string"), "text").collect()]
     assert got == [None, "out of bounds", "out of bounds", "out of bounds", "no kind", "no kind"]
+
+
+def test_quotes_short_and_long_against_plain_containment(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["a", "bb", "", "c,", "é"]) for _ in range(n))
+    docs = [(i, text(rng.randrange(0, 60))) for i in range(60)] + [(60, None), (61, "x" * 50_000), (1, "a bb a bb a"), (None, "c, é a  bb bb")]
+    quotes = [(i, text(rng.randrange(0, 9))) for i in range(50)] + [(50, None), (51, ""), (52, docs[3][1][2:-1]), (53, docs[3][1][2:-1]), (54, "x" * 40)]
+    got = R.quoted(spark.createDataFrame(quotes, "item_id int, quote string"), spark.createDataFrame(docs, "doc_id int, whole string"), "item_id", block=20)
+    want = [(q, d) for q, s in quotes for d, t in docs if s and t and s in t]
+    assert sorted(((r.item_id, r.doc_id) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert R.quoted(spark.createDataFrame([], "item_id int, quote string"), spark.createDataFrame(docs, "doc_id int, whole string"), "item_id").isEmpty()
