@@ -13,8 +13,12 @@ INERT = ["LOG", "DELETE", "DISPOSE", "PURGE", "DESTROY"]
 
 
 def canonical_json(fields: Column) -> Column:
-    """A map of strings as compact JSON with sorted keys; a null value is written as null. Keys and texts stay as they are, but for what JSON must escape."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))), {"ignoreNullFields": "false"})
+    """A map of strings as compact JSON with sorted keys; a null value is written as null. Texts stay as they are, but for what JSON must escape, in small hex digits."""
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))), {"ignoreNullFields": "false"})
+    small = text
+    for digit in "ABCDEF":
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return F.when(F.contains(text, F.lit("\\u00")), small).otherwise(text)
 
 
 def replay(events: DataFrame, record: str, order: list[str], op: str, patch: str) -> DataFrame:

@@ -299,7 +299,7 @@ def test_canonical_json_sorts_and_keeps_nulls(spark):
 
     from tallyspark.operators.records import canonical_json
 
-    fields = {"b": "é \"q\"\n/", "a": None, "": "x"}
+    fields = {"b": "é \"q\"\n/", "a": None, "": "x", "c": "\x1f\x0b\x1a\x1f \\u001F \\\x1f\x00\x7f"}
     frame = spark.createDataFrame([(fields,), ({},)], "m map<string,string>")
     got = [r[0] for r in frame.select(canonical_json(F.col("m"))).collect()]
     assert got == [json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for m in (fields, {})]
