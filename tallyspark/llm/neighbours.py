@@ -15,8 +15,10 @@ from tallyspark.llm._common import cut
 
 #: Links of a node on the upper layers; the ground layer has twice as many.
 LINKS = 16
-#: Distinct vectors of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_ROWS = 4096, 4096
+#: Distinct vectors of a shard: at least and at most; in between SHARD_ROOT times the root of their number.
+SHARD_ROWS, SHARD_MOST, SHARD_ROOT = 4096, 65_536, 16
+#: Queries of a block, on average.
+BLOCK_ROWS = 4096
 #: Sub-groups in which the ids of one vector are first ranked.
 SALT = 32
 _INDEX = "dim int, shard int, vectors binary, members binary, held binary, links binary, layers binary, tops binary, entry int"
@@ -183,6 +185,12 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int, width: int) -> p
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
+def shards_for(n: int) -> int:
+    """How many shards n distinct vectors make. Every query goes to every shard, so shards grow with n, as far as a task can build them."""
+    rows = min(SHARD_MOST, max(SHARD_ROWS, SHARD_ROOT * math.isqrt(n)))
+    return max(1, -(-n // rows))
+
+
 def usable(embedding: Column) -> Column:
     """Not null, not empty, not all zero, and without null or non-finite components."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -200,8 +208,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, width:
 
     Equal vectors are one node that carries its k + 1 smallest ids (all that
     can be among k answers besides the query's own), ranked in salted
-    sub-groups first. Nodes are dealt by hash into shards of about 4096; each
-    task builds one shard's graph and stores it as flat arrays, which are
+    sub-groups first. Nodes are dealt by hash into shards of 4,096 to 65,536
+    (see shards_for); each task builds one shard's graph and stores it as flat arrays, which are
     checkpointed. Query blocks of about 4096 then meet every shard, and the
     shards' best are ranked together. Scores are worked out from the original
     vectors; a walk keeps `width` candidates.
@@ -213,7 +221,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, width:
     few = ids.withColumn("at", F.row_number().over(W.partitionBy("h1", "h2", "salt").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     few = few.withColumn("at", F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     nodes = cut(few.groupBy("h1", "h2", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("members"), F.first("embedding").alias("embedding")))
-    shards = max(1, -(-nodes.count() // SHARD_ROWS))
+    shards = shards_for(nodes.count())
     dealt = nodes.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).repartition(4 * shards, "dim", "shard")
     index = cut(dealt.groupBy("dim", "shard").applyInPandas(lambda part: _build(part, k + 1), _INDEX))
 

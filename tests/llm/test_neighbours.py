@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspark.llm.neighbours import Graph, _unit, nearest_neighbours
+from tallyspark.llm.neighbours import Graph, _unit, nearest_neighbours, shards_for
 
 KINDS = "vec_id long, embedding array<float>"
 
@@ -61,3 +61,23 @@ def test_graph_is_reachable():
     graph = Graph.build(unit, width=40)
     found = sum(graph.nearest(unit[i], 20)[0] == i for i in range(500))
     assert found >= 490 and graph.links[0].shape == (500, 32) and Graph.build(unit[:0]).nearest(unit[0], 5) == []
+
+
+def test_recall_on_the_table_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr("tallyspark.llm.neighbours.SHARD_ROWS", 400)
+    monkeypatch.setattr("tallyspark.llm.neighbours.SHARD_ROOT", 0)
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    assert shards_for(len(rows)) >= 3
+    asked = [i for i, _ in rows if i % 50 == 0]
+    want = exact(rows, asked, 5)
+    got = {}
+    for r in nearest_neighbours(frame, F.col("vec_id") % 50 == 0, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_shards_grow_with_the_rows():
+    assert [shards_for(n) for n in (0, 1, 4096, 4097, 50_000)] == [1, 1, 1, 2, 13]
+    assert shards_for(1_000_000) == 63 and shards_for(10**9) == 15_259
