@@ -28,8 +28,9 @@ def contained(root: str, relative: str) -> str:
 
 def json_depth(raw: Column) -> Column:
     """How deep brackets nest in a JSON text, those inside strings left out."""
-    bare = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    # Possessive: an alternation under * would take a stack frame for each character of a string.
+    bare = F.regexp_replace(raw, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(s: Column, c: Column) -> Column:

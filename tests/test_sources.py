@@ -4,6 +4,8 @@ import struct
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyspark.sources import files as S
 from tallyspark.streaming.events import last_state_stream, tumbling_stream, unseen
 
@@ -98,3 +100,11 @@ def test_streams(spark, tmp_path):
     assert last == {r[0]: r[1] for r in events.groupBy("user_id").agg({"ts": "max"}).collect()}
     twice = stream().union(stream())
     assert _run(spark, unseen(twice, "event_id", "ts", "40 days"), "append", "u").count() == events.count()
+
+
+def test_long_strings_do_not_exhaust_the_stack(spark):
+    """One string of a million characters, of escapes, of quotes, and an unclosed one, each beside brackets that count."""
+    n = 1_000_000
+    texts = ['{"a":["' + "x" * n + '"]}', '{"a":["' + "\\\\" * n + '"]}', '{"a":["' + '\\"' * n + '"]}', '{"a":["' + "[" * n + '"]}', '[["' + "y" * n, '["' + "\\n" * n + '",[[1]]]']
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").select("i", S.json_depth(F.col("raw")).alias("d"), S.admit(F.col("raw")).alias("v")).orderBy("i").collect()
+    assert [r.d for r in got] == [2, 2, 2, 2, 2, 3] and {r.v for r in got} == {"ok"}
