@@ -135,3 +135,10 @@ def test_ssn_and_dates_stay_valid_and_apart(spark):
     dates = sorted({d.strftime("%d/%m/%Y") for d in days} | {d.strftime("%m/%d/%Y") for d in days})
     out = [r.p for r in spark.createDataFrame([(x,) for x in dates], "v string").select(date(F.col("v"), "k").alias("p")).collect()]
     assert len(set(out)) == len(dates)
+
+
+def test_long_texts_of_each_shape_do_not_exhaust_the_stack(spark):
+    n = 20_000
+    shapes = ["x@y" + ".c" * (25 * n), "x@" + "y-" * n, "password=" + "p" * n, "1.2." * n, "2024-01-02-" * n, "+1 23" * n, "4111 " * n, "AB12 " * n, "123-45-" * n]
+    out = pseudonymise(spark.createDataFrame(list(enumerate(shapes)), "doc_id int, text string"), key="k").collect()
+    assert len(out) == len(shapes)
