@@ -59,4 +59,61 @@ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o O
 GROUP BY d.r, d.doc_id, n.n
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9}
+
+def _before(state: int) -> str:
+    """The least weight of a state before a row: a cost of twelve digits, then letters, so that strings order as (cost, letters)."""
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+
+    def put(cost: str, letters: str, to: int) -> str:
+        return f"lpad(CAST(CAST(left(v{to}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{letters}' || substr(v{to}, 13)"
+
+    def kept(cost: str, letters: str, at: int) -> str:
+        fits = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}[at]
+        return "CASE left(r.role, 1) " + " ".join(f"WHEN '{k}' THEN {put(cost, letters, to)}" for k, to in fits) + " END"
+
+    at = after[state]
+    ways = [kept("5 * r.truncated", "K", state), put("1 + 5 * r.truncated", "R", at), kept("5 + 5 * r.truncated", "IK", at), put("6 + 5 * r.truncated", "IR", after[at])]
+    return f"CASE WHEN r.gone = 1 THEN {put('2', 'D', state)} ELSE least({put('2', 'D', state)}, {', '.join(ways)}) END AS v{state}"
+
+
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(k, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+OP13 = rf"""
+WITH RECURSIVE c AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+f AS (SELECT *, {_CRC} % 20 AS f FROM c),
+d AS (
+  SELECT g, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) FROM f WHERE f <> 0),
+n AS (SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+r AS (
+  SELECT g, turn, role, text, i, lead(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS following,
+    CAST(NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS INTEGER) AS blank,
+    CAST(row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AND regexp_matches(text, '[^\x20\x09-\x0D]') AS INTEGER) AS again,
+    greatest(CAST(NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS INTEGER), CAST(row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS INTEGER)) AS gone,
+    CAST(NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS INTEGER) AS truncated FROM n),
+w AS (
+  SELECT g, max(i) + 1 AS i, lpad('', 12, '0') AS v0, lpad('10', 12, '0') || 'II' AS v1, lpad('5', 12, '0') || 'I' AS v2, lpad('', 12, '0') AS v3 FROM r GROUP BY g
+  UNION ALL
+  SELECT w.g, r.i, {_before(0)}, {_before(1)}, {_before(2)}, {_before(3)} FROM w JOIN r ON r.g = w.g AND r.i = w.i - 1),
+best AS (SELECT g, CAST(left(v0, 12) AS BIGINT) AS cost, substr(v0, 13) AS audit FROM w WHERE i = 1),
+told AS (
+  SELECT g, audit, 1 AS p, 1 AS i, '' AS last, CAST(NULL AS VARCHAR) AS story FROM best
+  UNION ALL
+  SELECT t.g, t.audit, t.p + 1, t.i + CASE WHEN x = 'I' THEN 0 ELSE 1 END,
+    CASE x WHEN 'D' THEN t.last WHEN 'K' THEN left(r.role, 1) ELSE CASE WHEN t.last = 'u' THEN 'a' ELSE 'u' END END,
+    CASE x WHEN 'D' THEN t.story ELSE concat_ws(chr(10), t.story,
+      CASE WHEN x = 'K' THEN r.role WHEN t.last = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE x WHEN 'I' THEN '' ELSE r.text END) END
+  FROM (SELECT *, substr(audit, CAST(p AS BIGINT), 1) AS x FROM told WHERE p <= length(audit)) t LEFT JOIN r ON r.g = t.g AND r.i = t.i),
+s AS (
+  SELECT g, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(again) AS BIGINT) AS duplicate,
+    CAST(sum(CASE WHEN gone = 0 THEN truncated ELSE 0 END) AS BIGINT) AS truncated,
+    CAST(sum(CASE WHEN following IS NOT NULL AND left(role, 1) || following NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS BIGINT) AS illegal FROM r GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(story, '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM c) LEFT JOIN s USING (g) LEFT JOIN best USING (g) LEFT JOIN told ON told.g = best.g AND told.p = length(best.audit) + 1
+"""
+
+ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9, "op13_structure_repair": OP13}

@@ -16,6 +16,7 @@ from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.pseudonyms import pseudonymise
 from tallyspark.llm.quality import classify_quality
 from tallyspark.llm.sharding import ring_shards
+from tallyspark.llm.structure_repair import damage, repair
 from tallyspark.llm.toxicity import classify_toxicity
 
 
@@ -79,4 +80,8 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar)}
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar, op13_structure_repair)}
