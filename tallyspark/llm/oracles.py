@@ -59,6 +59,19 @@ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o O
 GROUP BY d.r, d.doc_id, n.n
 """
 
+OP12 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id AND len(a.e) = len(c.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
 
 def _before(state: int) -> str:
     """The least weight of a state before a row: a cost of twelve digits, then letters, so that strings order as (cost, letters)."""
@@ -116,4 +129,4 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM (SELECT DISTINCT g, conv_id FROM c) LEFT JOIN s USING (g) LEFT JOIN best USING (g) LEFT JOIN told ON told.g = best.g AND told.p = length(best.audit) + 1
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9, "op13_structure_repair": OP13}
+ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9, "op12_rtree_negatives": OP12, "op13_structure_repair": OP13}

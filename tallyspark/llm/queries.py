@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm._common import table
 from tallyspark.llm.chat import fold_events, read_back, render, streamed_log
 from tallyspark.llm.decontamination import decontaminate
+from tallyspark.llm.hard_negatives import hard_negatives
 from tallyspark.llm.line_dedup import dedup_lines
 from tallyspark.llm.neighbours import nearest_neighbours
 from tallyspark.llm.ngram_join import similar_sets
@@ -80,8 +81,14 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op12_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar, op13_structure_repair)}
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar, op12_rtree_negatives, op13_structure_repair)}
