@@ -59,6 +59,44 @@ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o O
 GROUP BY d.r, d.doc_id, n.n
 """
 
+
+
+def _level(i: int) -> str:
+    """The tree's nodes with one more segment, from those of n{i}."""
+    x = f"s[{i + 1}]"
+    return f"""
+c{i} AS (SELECT host, t, {x} AS x, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM n{i} WHERE {x} IS NOT NULL GROUP BY ALL),
+k{i} AS (
+  SELECT host, t, x FROM (SELECT *, sum(n) OVER w AS an, sum(l) OVER w AS al, sum(b) OVER w AS ab, count(*) OVER w AS k FROM c{i} WINDOW w AS (PARTITION BY host, t))
+  WHERE k = 1 OR (n * 16 >= an AND CAST(l AS DOUBLE) * (al - l) * ab * (al - ab) > 0
+    AND CAST(b * ((al - l) - (ab - b)) - (ab - b) * (l - b) AS DOUBLE) ** 2 * al >= 3.841 * (CAST(l AS DOUBLE) * (al - l) * ab * (al - ab)))),
+n{i + 1} AS (
+  SELECT a.host, a.shape, a.s, CASE WHEN a.{x} IS NULL THEN a.t ELSE a.t || '/' || CASE WHEN k.x IS NULL THEN '*' ELSE k.x END END AS t, n, l, b
+  FROM n{i} a LEFT JOIN k{i} k ON k.host = a.host AND k.t = a.t AND k.x = a.{x}),"""
+
+
+OP11 = rf"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+q AS (SELECT *, regexp_replace(path, '[0-9]+', '{{n}}', 'g') AS shape FROM p),
+g AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+n0 AS (SELECT host, shape, string_split(shape, '/')[2:] AS s, '' AS t, count(*) AS n, count(bad) AS l, sum(coalesce(bad, 0)) AS b FROM q LEFT JOIN g ON doc_id = page_id GROUP BY host, shape),
+{"".join(map(_level, range(4)))}
+m AS (SELECT host, shape, CASE WHEN len(s) > 4 THEN t || '/**' ELSE t END AS template, l, b FROM n4),
+h AS (SELECT host, sum(l) AS l, sum(b) AS b FROM m GROUP BY host),
+o AS (SELECT CASE WHEN sum(l) > 0 THEN CAST(sum(b) AS DOUBLE) / sum(l) ELSE 0 END AS rate FROM h),
+j AS (
+  SELECT m.host, m.template, (sum(m.b) + 4.0::DOUBLE * max((h.b + 4.0::DOUBLE * o.rate) / (h.l + 4.0::DOUBLE))) / (sum(m.l) + 4.0::DOUBLE) AS purity
+  FROM m JOIN h ON h.host = m.host CROSS JOIN o GROUP BY m.host, m.template),
+v AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) x (name, start, says)),
+w AS (
+  SELECT page_id, arg_max(name || start, length(name || start)) AS rule, arg_max(says, length(name || start)) AS says
+  FROM q JOIN v ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT q.page_id, q.host, path, rule, coalesce(says, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, m.template
+FROM q JOIN m USING (host, shape) JOIN j ON j.host = m.host AND j.template = m.template LEFT JOIN w ON w.page_id = q.page_id
+"""
+
 OP12 = """
 WITH v AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -129,4 +167,4 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM (SELECT DISTINCT g, conv_id FROM c) LEFT JOIN s USING (g) LEFT JOIN best USING (g) LEFT JOIN told ON told.g = best.g AND told.p = length(best.audit) + 1
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9, "op12_rtree_negatives": OP12, "op13_structure_repair": OP13}
+ORACLES = {"op3_decontaminate": OP3, "op8_chat_events": OP8, "op9_ngram_join": OP9, "op11_url_templates": OP11, "op12_rtree_negatives": OP12, "op13_structure_repair": OP13}

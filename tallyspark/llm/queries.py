@@ -19,6 +19,7 @@ from tallyspark.llm.quality import classify_quality
 from tallyspark.llm.sharding import ring_shards
 from tallyspark.llm.structure_repair import damage, repair
 from tallyspark.llm.toxicity import classify_toxicity
+from tallyspark.llm.url_templates import filter_urls
 
 
 def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,18 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: The rules of the URL query, as fixed values: host, begin of the path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the labels row of its number: bad, if of low quality or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op12_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -91,4 +104,4 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar, op12_rtree_negatives, op13_structure_repair)}
+QUERIES = {f.__name__: f for f in (op1_ring_shards, op2_best_fit_packing, op3_decontaminate, op4_feistel_pseudonyms, op5_line_dedup, op6_hnsw_neighbours, op7_quality_pairs, op8_chat_events, op9_ngram_join, op10_toxicity_grammar, op11_url_templates, op12_rtree_negatives, op13_structure_repair)}
