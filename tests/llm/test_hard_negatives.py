@@ -63,10 +63,31 @@ def test_empty_tables_and_clashing_columns(spark):
 
 def test_boxes_hold_what_is_below_them():
     rng = np.random.default_rng(4)
-    vectors = rng.integers(-50, 50, (500, 6))
-    order, (lows, highs, first, last), leaves = H.pack(vectors, leaf=8, fanout=3)
+    vectors, labels = rng.integers(-50, 50, (500, 6)), rng.integers(0, 4, 500)
+    order, (lows, highs, first, last), leaves = H.pack(vectors, labels, leaf=8, fanout=3)
     assert sorted(order.tolist()) == list(range(500)) and first[-1] >= 0
-    packed = vectors[order]
+    packed = np.column_stack([vectors, labels])[order]
     for node in range(len(first)):
         below = packed[first[node] : last[node]] if node < leaves else np.concatenate([[lows[c], highs[c]] for c in range(first[node], last[node])])
         assert (lows[node] == below.min(0)).all() and (highs[node] == below.max(0)).all()
+
+
+def test_pruned_search_against_all_rows():
+    """Trees of many small leaves: every window's best, and boxes left unopened."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-200, 200, (12, 4))
+    vectors = np.repeat(centres, 40, 0) + rng.integers(-6, 7, (480, 4))
+    labels = np.repeat(np.arange(12) % 3, 40)
+    order, nodes, leaves = H.pack(vectors, labels, leaf=8, fanout=3)
+    flat = [x.astype(np.int64).tobytes() for x in (labels[order], order[:, None], np.ones(480), *nodes)]
+    tree = H.Tree({"dim": 4, "wide": True, "vectors": vectors[order].astype(np.int64).tobytes(), **dict(zip(("label", "members", "held", "lows", "highs", "first", "last"), flat, strict=True)), "leaves": leaves}, 1)
+    asked = tree.exact_for(vectors[::40])
+    lows, highs = tree.bounds(asked)
+    for i in range(12):
+        scores = vectors @ vectors[40 * i]
+        top = int(np.sort(scores)[-20])
+        for same, windows in ((True, [(-math.inf, math.inf)]), (False, [(top // 2, top), (0, top // 3), (10**9, 10**9)])):
+            got = tree.search(40 * i, int(labels[40 * i]), same, asked[i], lows[i], highs[i], windows, 4)
+            for (low, high), best in zip(windows, got, strict=True):
+                fit = [(int(s), -v) for v, s in enumerate(scores) if low <= s <= high and (labels[v] == labels[40 * i]) == same and v != 40 * i]
+                assert best == sorted(fit, reverse=True)[:4]
