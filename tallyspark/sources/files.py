@@ -26,18 +26,28 @@ def contained(root: str, relative: str) -> str:
     return str(full)
 
 
-def json_depth(raw: Column) -> Column:
-    """How deep brackets nest in a JSON text, those inside strings left out."""
+def bracket_shape(raw: Column) -> Column:
+    """How brackets nest in a JSON text, those inside strings left out: most (the depth), least and last (open ones, below 0 if too many close), tops (outermost pairs)."""
     # Possessive: an alternation under * would take a stack frame for each character of a string.
     bare = F.regexp_replace(raw, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    runs = F.regexp_extract_all(bare, F.lit(r"[\[{]++|[\]}]++"), F.lit(0))
+    names = ("now", "most", "least", "last", "tops")
+    start = F.struct(*[F.lit(0).alias(n) for n in names])
+
+    def step(s: Column, run: Column) -> Column:
+        opens, n = run.startswith("[") | run.startswith("{"), F.length(run)
+        # An unmatched closing bracket doesn't count against the depth of what follows.
+        now = F.when(opens, s["now"] + n).otherwise(F.greatest(s["now"] - n, F.lit(0)))
+        last = s["last"] + F.when(opens, n).otherwise(-n)
+        tops = s["tops"] + F.when(opens & (s["last"] <= 0), 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"), F.least(s["least"], last).alias("least"), last.alias("last"), tops.alias("tops"))
 
-    def step(s: Column, c: Column) -> Column:
-        now = s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+    return F.aggregate(runs, start, step)
 
-    return F.aggregate(marks, start, step, lambda s: s["most"])
+
+def json_depth(raw: Column) -> Column:
+    """How deep brackets nest in a JSON text, those inside strings left out."""
+    return bracket_shape(raw)["most"]
 
 
 def admit(raw: Column, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH) -> Column:
