@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tallyspark.queries import aggregates, checks, graphs, joins, nested, records, scores, texts, windows  # noqa: E402, F401
+from tallyspark.queries import aggregates, checks, graphs, joins, nested, records, scores, storage, texts, windows  # noqa: E402, F401

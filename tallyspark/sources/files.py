@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 from pathlib import Path
 
@@ -99,29 +98,6 @@ def read_ordered_json(spark: SparkSession, folder: str, schema: T.StructType | s
     return rows.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
-def _signed(content: Column, at: Column, width: int) -> Column:
-    """A little-endian signed integer of width bytes that begins at a byte number from 0."""
-    byte = lambda i: F.conv(F.hex(F.substring(content, (at + i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    value = sum((byte(i) * (1 << (8 * i)) for i in range(1, width)), byte(0))
-    return F.when(value >= 1 << (8 * width - 1), value - (1 << (8 * width))).otherwise(value)
-
-
-def read_grid(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
-    """(row, col, value) of a file of signed bytes; a length other than rows x cols fails."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    fits = F.when(F.octet_length("content") != rows * cols, F.raise_error(F.lit("grid has another size"))).otherwise(F.lit(rows * cols)).cast("int")
-    cells = files.select("content", F.explode(F.sequence(F.lit(0), fits - 1)).alias("i"))
-    return cells.select((F.col("i") / cols).cast("int").alias("row"), (F.col("i") % cols).alias("col"), _signed(F.col("content"), F.col("i"), 1).alias("value"))
-
-
-def read_pcm(spark: SparkSession, path: str) -> DataFrame:
-    """(i, v) of little-endian 16-bit samples; an odd length fails."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    count = F.when(F.octet_length("content") % 2 == 1, F.raise_error(F.lit("odd number of bytes"))).otherwise(F.octet_length("content") / 2).cast("int")
-    at = files.where(F.octet_length("content") > 0).select("content", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    return at.select("i", _signed(F.col("content"), F.col("i") * 2, 2).alias("v"))
-
-
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """The set of non-blank lines of a word list, stripped."""
     return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("word")).where("word <> ''").distinct()
@@ -143,15 +119,52 @@ def files_under(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.regexp_replace("path", f"^{base}/", "").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def kinds_under(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind) of every node under a root: file, link or other. Looks, follows nothing."""
-    rows = []
-    for folder, folders, names in os.walk(root, followlinks=False):
-        for name in [*names, *[d for d in folders if os.path.islink(os.path.join(folder, d))]]:
-            full = os.path.join(folder, name)
-            kind = "link" if os.path.islink(full) else "file" if os.path.isfile(full) else "other"
-            rows.append((os.path.relpath(full, root), kind))
-    return spark.createDataFrame(rows, "path string, kind string")
+#: The kinds of status events, and the properties that decisions are about.
+EVENT_TYPES = [
+    "ADMISSION_DECISION", "COVERAGE_DRIFT", "CORRECT", "ENTITY_DRIFT", "INGESTION_VERSION_BUMP", "KEY_REVOKED", "LANGUAGE_RECALIBRATION", "RECLASSIFY", "RETRACT", "STRUCTURE_DRIFT", "SUPERSEDE",
+]
+PROPERTIES = ["issuer_identity_verified", "signed_artifact_present", "publication_class", "external_status_flags"]
+_CHUNK = "struct<fragment:string,rank:long,source_cid:string>"
+#: Logs by name: the columns of a line, those that may not be null, the allowed values of one, and the key that may stand there once.
+LOGS = {
+    "status": ("event_type string, source_id string, prior_sha string, new_sha string, detected_at string, metadata map<string,string>", ["event_type", "source_id", "detected_at", "metadata"], ("event_type", EVENT_TYPES), None),
+    "trace": (f"trace_id string, retriever_name string, retriever_version string, query string, candidate_set array<string>, rankings array<struct<score:double,source_cid:string>>, selected_chunks array<{_CHUNK}>, context_window array<string>, model_router_version string, captured_at string", ["trace_id", "candidate_set", "selected_chunks", "context_window"], None, "trace_id"),
+    "decision": ("source_cid string, property_name string, decided_by string, decided_at string, policy_version string, evidence map<string,string>, prior_value string, new_value string", ["source_cid", "property_name", "decided_by", "decided_at", "policy_version"], ("property_name", PROPERTIES), None),
+    "ingest": ("cid string, source_url string, ingested_at string, policy_version string, policy_dict_sha256 string, redirect_chain array<string>, rendered_text_cid string, ingestion_metadata map<string,string>", ["cid", "ingested_at", "policy_version", "policy_dict_sha256"], None, None),
+}
+
+
+def _by_name(value: Column, to: T.DataType) -> Column:
+    """A cast that finds the fields of structs in arrays by their names; a plain cast takes them by place."""
+    if isinstance(to, T.ArrayType) and isinstance(to.elementType, T.StructType):
+        return F.transform(value, lambda x: F.struct(*[x[f.name].cast(f.dataType).alias(f.name) for f in to.elementType.fields]))
+    return value.cast(to)
+
+
+def append_log(df: DataFrame, path: str, log: str) -> None:
+    """Appends rows to a log of a known kind as JSON lines; other columns, a null where none may be, or an unknown value fail before a line is written.
+
+    A trace's chosen chunks must be among its candidates and its context
+    among the chosen, and its id must be new.
+    """
+    schema, needed, allowed, key = LOGS[log]
+    wanted = T._parse_datatype_string(schema)
+    if set(df.columns) != set(wanted.names):
+        raise ValueError(f"a {log} log has the columns {wanted.names}, not {df.columns}")
+    rows = df.select(*[_by_name(F.col(f.name), f.dataType).alias(f.name) for f in wanted.fields])
+    bad = F.exists(F.array(*[F.col(c).isNull() for c in needed]), lambda x: x)
+    if allowed:
+        bad = bad | ~F.col(allowed[0]).isin(*allowed[1])
+    if log == "trace":
+        chosen = F.col("selected_chunks.source_cid")
+        bad = bad | (F.size(F.array_except(chosen, "candidate_set")) > 0) | (F.size(F.array_except("context_window", chosen)) > 0)
+    first = rows.where(F.coalesce(bad, F.lit(True))).limit(1).collect()
+    if first:
+        raise ValueError(f"no line for a {log} log: {first[0].asDict()}")
+    if key:
+        append_unique(rows, path, key)
+    else:
+        append_events(rows, path)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -188,23 +201,3 @@ def write_dataset(df: DataFrame, root: str, name: str) -> DataFrame:
     target = contained(root, name)
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(target)
     return files_under(df.sparkSession, target).where(F.col("path").startswith("part-"))
-
-
-def sealed_copy(files: DataFrame, root: str, into: str) -> DataFrame:
-    """Copies listed files into a private folder, once, and lists the copies with their digests.
-
-    What is read afterwards is one set of bytes, whatever happens at the
-    source. Files that are no regular ones are refused.
-    """
-    rows = []
-    for r in files.select("path").toLocalIterator():
-        source = Path(contained(root, r.path))
-        # Resolved, a path that goes through a link differs from the one listed.
-        if source != Path(root).resolve() / r.path or not source.is_file():
-            raise ValueError(f"not a regular file: {r.path}")
-        data = source.read_bytes()
-        target = Path(into) / r.path
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(data)
-        rows.append((r.path, len(data), hashlib.sha256(data).hexdigest()))
-    return files.sparkSession.createDataFrame(rows, "path string, size long, sha256 string")

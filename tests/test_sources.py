@@ -6,7 +6,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tallyspark.sources import bundles as B
 from tallyspark.sources import files as S
+from tallyspark.sources import ranges as R
 from tallyspark.streaming.events import last_state_stream, tumbling_stream, unseen
 
 
@@ -41,15 +43,15 @@ def test_csv_is_text_and_folders_are_ordered(spark, tmp_path):
 
 def test_binary(spark, tmp_path):
     (tmp_path / "g").write_bytes(struct.pack("<6b", 1, -1, 127, -128, 0, 5))
-    grid = S.read_grid(spark, str(tmp_path / "g"), 2, 3).orderBy("row", "col").collect()
+    grid = R.read_grid(spark, str(tmp_path / "g"), 2, 3).orderBy("row", "col").collect()
     assert [(r.row, r.col, r.value) for r in grid] == [(0, 0, 1), (0, 1, -1), (0, 2, 127), (1, 0, -128), (1, 1, 0), (1, 2, 5)]
     with pytest.raises(Exception, match="another size"):
-        S.read_grid(spark, str(tmp_path / "g"), 2, 2).collect()
+        R.read_grid(spark, str(tmp_path / "g"), 2, 2).collect()
     (tmp_path / "p").write_bytes(struct.pack("<3h", 300, -300, -32768))
-    assert [r.v for r in S.read_pcm(spark, str(tmp_path / "p")).orderBy("i").collect()] == [300, -300, -32768]
+    assert [r.v for r in R.read_pcm(spark, str(tmp_path / "p")).orderBy("i").collect()] == [300, -300, -32768]
     (tmp_path / "odd").write_bytes(b"abc")
     with pytest.raises(Exception, match="odd"):
-        S.read_pcm(spark, str(tmp_path / "odd")).collect()
+        R.read_pcm(spark, str(tmp_path / "odd")).collect()
     (tmp_path / "w").write_text(" b \n\na\na\n")
     assert sorted(r.word for r in S.read_words(spark, str(tmp_path / "w")).collect()) == ["a", "b"]
 
@@ -70,12 +72,12 @@ def test_sinks_and_walks(spark, tmp_path):
     (root / "sub" / "x").write_text("hello")
     os.symlink("x", root / "sub" / "y")
     listed = S.files_under(spark, str(root)).collect()
-    assert [r.path for r in listed if r.path == "sub/x"] and {r.path: r.kind for r in S.kinds_under(spark, str(root)).collect()} == {"sub/x": "file", "sub/y": "link"}
+    assert [r.path for r in listed if r.path == "sub/x"] and {r.path: r.kind for r in B.listing(spark, str(root)).collect()} == {"sub": "folder", "sub/x": "file", "sub/y": "link"}
     files = spark.createDataFrame([("sub/x",)], "path string")
-    copy = S.sealed_copy(files, str(root), str(tmp_path / "seal")).collect()[0]
+    copy = B.sealed_copy(files, str(root), str(tmp_path / "seal")).collect()[0]
     assert copy.sha256 == next(r.sha256 for r in listed if r.path == "sub/x") and (tmp_path / "seal/sub/x").read_text() == "hello"
     with pytest.raises(ValueError):
-        S.sealed_copy(spark.createDataFrame([("sub/y",)], "path string"), str(root), str(tmp_path / "seal2"))
+        B.sealed_copy(spark.createDataFrame([("sub/y",)], "path string"), str(root), str(tmp_path / "seal2"))
     written = S.write_dataset(spark.createDataFrame([(1,)], "a int"), str(tmp_path), "set")
     assert written.count() == 1
 
