@@ -11,17 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def inside(x2: Column, y2: Column, polygon: list[tuple[int, int]]) -> Column:
-    """Even-odd test of a point given in doubled coordinates against integer vertices, in integers only."""
-    out = F.lit(False)
-    for (xi, yi), (xj, yj) in zip(polygon, [polygon[-1], *polygon[:-1]], strict=True):
-        xi, yi, xj, yj = 2 * xi, 2 * yi, 2 * xj, 2 * yj
-        if yi == yj:
-            continue
-        spans = (F.lit(yi) > y2) != (F.lit(yj) > y2)
-        left, right = (x2 - xi) * (yj - yi), (y2 - yi) * (xj - xi)
-        out = out != (spans & (left < right if yj > yi else left > right))
-    return out
+def inside(x: Column, y: Column, polygon: list[tuple[int, int]], scale: int = 2) -> Column:
+    """Whether an odd number of edges lies to the right of a point, whose whole coordinates are `scale` times those of the vertices.
+
+    An edge counts for points at or above its lower end and below its upper
+    one, so a vertex counts once. It lies to the right where the cross product
+    of the edge, taken upwards, and the point is positive. No vertices hold
+    nothing.
+    """
+    corners = [(scale * a, scale * b) for a, b in polygon]
+    rising = [(*low, *high) if low[1] < high[1] else (*high, *low) for low, high in zip(corners, corners[1:] + corners[:1], strict=True) if low[1] != high[1]]
+    if not rising:
+        return F.lit(False)
+    edges = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), e, strict=True)]) for e in rising])
+    right = lambda e: (e["x1"] - e["x0"]) * (y - e["y0"]) > (x - e["x0"]) * (e["y1"] - e["y0"])
+    return F.size(F.filter(edges, lambda e: (y >= e["y0"]) & (y < e["y1"]) & right(e))) % 2 == 1
 
 
 def cells_inside(cells: DataFrame, polygon: list[tuple[int, int]]) -> DataFrame:

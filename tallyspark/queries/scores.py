@@ -77,27 +77,29 @@ def q_char_hash(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT unnest(range(-2, 3)) AS x), w AS (SELECT a.x AS x, b.x AS y FROM v a, v b)
-SELECT 'r1' AS rule_id, bool_or(x > y AND NOT x = 2) AS falsifiable FROM w
-UNION ALL SELECT 'r2', bool_or(x > 2 OR y < -2) FROM w
-UNION ALL SELECT 'r3', bool_or(x >= y AND y >= x AND x <> 0) FROM w
+WITH v AS (SELECT a.x, b.y FROM (SELECT unnest(range(-2, 3)) AS x) a, (SELECT unnest(range(-2, 3)) AS y) b),
+p AS (SELECT p_partkey, p_size % 7 - 3 AS low, p_partkey % 9 - 4 AS high FROM part)
+SELECT p_partkey, low, high, bool_or(x > low AND NOT (y <= high OR x = y)) AS both, bool_or(low < x AND x < high) AS between, bool_or(x <> 0 AND high = 4 OR y < low) AS either
+FROM p, v GROUP BY 1, 2, 3
 """)
 def q_falsifiable(spark, sf_dir):
-    from tallyspark.plans.falsify import falsifiable
+    """Three rules with each part's own bounds: whether they can fire at all."""
+    from tallyspark.plans.falsify import can_fire
 
-    return falsifiable(spark, {"r1": "x > y and not x == 2", "r2": "x > 2 or y < -2", "r3": "x >= y >= x and x != 0"})
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 7 - 3).cast("long").alias("low"), (F.col("p_partkey") % 9 - 4).alias("high"))
+    return parts.select("*", can_fire("x > low and not (y <= high or x == y)", ["x", "y"]).alias("both"), can_fire("low < x < high", ["x"]).alias("between"), can_fire("x != 0 and high == 4 or y < low", ["x", "y"]).alias("either"))
 
 
 @query("""
-WITH g AS (SELECT r.row, c.col FROM (SELECT unnest(range(0, 64)) AS row) r, (SELECT unnest(range(0, 64)) AS col) c),
-p AS (SELECT row, col, 2 * col + 1 AS x, 2 * row + 1 AS y FROM g),
-e(xi, yi, xj, yj) AS (VALUES (20, 10, 20, 100), (100, 30, 20, 10), (90, 110, 100, 30), (50, 60, 90, 110), (20, 100, 50, 60)),
-t AS (SELECT row, col, count(*) FILTER (WHERE (yi > y) <> (yj > y) AND CASE WHEN yj > yi THEN (x - xi) * (yj - yi) < (xj - xi) * (y - yi) ELSE (x - xi) * (yj - yi) > (xj - xi) * (y - yi) END) AS n FROM p, e GROUP BY 1, 2)
-SELECT count(*) AS n_cells, CAST(sum(row * 64 + col) AS BIGINT) AS checksum FROM t WHERE n % 2 = 1
+WITH o AS (SELECT o_orderkey, o_orderstatus, 2 * (o_custkey % 64) + 1 AS x, 2 * (o_orderkey % 61) + 1 AS y FROM orders),
+e(x0, y0, x1, y1) AS (VALUES (20, 10, 100, 30), (100, 30, 90, 110), (50, 60, 90, 110), (50, 60, 20, 100), (20, 10, 20, 100)),
+n AS (SELECT o_orderkey, o_orderstatus, count(*) AS right_of FROM o JOIN e ON y >= y0 AND y < y1 AND x0 + (x1 - x0) * (y - y0) / CAST(y1 - y0 AS DOUBLE) > x GROUP BY 1, 2)
+SELECT o_orderstatus, count(*) AS n_inside, CAST(sum(o_orderkey) AS BIGINT) AS checksum FROM n WHERE right_of % 2 = 1 GROUP BY 1
 """)
 def q_point_in_polygon(spark, sf_dir):
+    """Orders as cells of a grid: how many of each status lie in a polygon."""
     from tallyspark.operators.shapes import cells_inside
 
-    cells = spark.range(64 * 64).select((F.col("id") / 64).cast("long").alias("row"), (F.col("id") % 64).alias("col"))
-    inside = cells_inside(cells, [(10, 5), (50, 15), (45, 55), (25, 30), (10, 50)])
-    return inside.agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("row") * 64 + F.col("col")).alias("checksum"))
+    cells = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 61).alias("row"), (F.col("o_custkey") % 64).alias("col"))
+    held = cells_inside(cells, [(10, 5), (50, 15), (45, 55), (25, 30), (10, 50)])
+    return held.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_inside"), F.sum("o_orderkey").alias("checksum"))

@@ -348,3 +348,22 @@ def test_quotes_short_and_long_against_plain_containment(spark):
     want = [(q, d) for q, s in quotes for d, t in docs if s and t and s in t]
     assert sorted(((r.item_id, r.doc_id) for r in got.collect()), key=str) == sorted(want, key=str)
     assert R.quoted(spark.createDataFrame([], "item_id int, quote string"), spark.createDataFrame(docs, "doc_id int, whole string"), "item_id").isEmpty()
+
+
+def test_polygons_against_shared_edges(spark):
+    """Every half cell of a square split in two lies in exactly one half; no vertices hold nothing."""
+    from tallyspark.operators.shapes import inside
+
+    grid = spark.range(-3, 25).selectExpr("id as x").crossJoin(spark.range(-3, 25).selectExpr("id as y"))
+    square, lower, upper = [(0, 0), (10, 0), (10, 10), (0, 10)], [(0, 0), (10, 0), (10, 10)], [(0, 0), (10, 10), (0, 10)]
+    x, y = F.col("x"), F.col("y")
+    out = grid.select("x", "y", *[inside(x, y, p).cast("int").alias(n) for n, p in (("s", square), ("l", lower), ("u", upper), ("none", []), ("line", [(0, 0), (5, 5)]), ("back", square[::-1]))]).collect()
+    assert all(r.s == r.l + r.u == r.back == int(0 <= r.x < 20 and 0 <= r.y < 20) and r.none == 0 == r.line for r in out)
+
+
+def test_rules_over_a_table_of_bounds(spark):
+    from tallyspark.plans.falsify import can_fire
+
+    df = spark.createDataFrame([(1, 0), (2, 0), (-3, None)], "a int, b int")
+    got = df.select(can_fire("x > a", ["x"]), can_fire("x == y and x != y", ["x", "y"]), can_fire("a > b", []), can_fire("not x < a or b == 0", ["x"])).collect()
+    assert [tuple(r) for r in got] == [(True, False, True, True), (False, False, True, True), (True, False, False, True)]
