@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -346,6 +347,9 @@ def sealed_copy(files: DataFrame, root: str, into: str) -> DataFrame:
     try:
         done = cut(_each(files, root, stage))
         os.rename(stage, target)
+    except PythonException as e:
+        _remove(stage)
+        raise ValueError(f"not sealed: {e}") from e
     except BaseException:
         _remove(stage)
         raise
