@@ -9,6 +9,7 @@ from tallyspark.operators.nested import admit_nested, canonical
 from tallyspark.queries import query
 from tallyspark.sources.tables import table
 
+
 @query(r"""
 WITH c AS (
   SELECT conv_id, json_object('conv', conv_id, 'turns', to_json(list(json_object('turn', turn, 'said', json_array(role, json_object('text', text, 'size', length(text)))) ORDER BY turn, role, text))) AS j
