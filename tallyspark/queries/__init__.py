@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tallyspark.queries import aggregates, checks, graphs, joins, manifests, nested, recipes, records, scores, storage, streams, texts, windows  # noqa: E402, F401
+from tallyspark.queries import aggregates, checks, combine, graphs, joins, manifests, nested, recipes, records, scores, storage, streams, texts, windows  # noqa: E402, F401
