@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm._common import cut
-from tallyspark.llm.sharding import number
+from tallyspark.llm.sharding import number, with_parts
 
-#: Parts into which pieces of one length are dealt while they are numbered.
-PARTS = 64
 _END = 0
 
 
@@ -156,8 +154,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, room: int = 2048, with_id
     pieces = cut(cut_up.mapInArrow(partial(_pieces, vocabulary=vocabulary, room=room, with_ids=with_ids), kinds))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     moves = docs.sparkSession.createDataFrame(plan(counts, room), "length long, _from long, _to long, _bin long, _per long, _base long")
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    numbered = number(dealt, "length", "_part", "_number").drop("_part")
+    numbered = number(with_parts(pieces, "_part"), "length", "_part", "_number").drop("_part")
     at = F.col("_number") - F.col("_from")
     placed = numbered.join(F.broadcast(moves), (numbered["length"] == moves["length"]) & (F.col("_number") >= F.col("_from")) & (F.col("_number") < F.col("_to"))).drop(moves["length"])
     placed = placed.withColumn("sequence_id", F.col("_bin") + F.floor(at / F.col("_per"))).withColumn("offset", F.col("_base") + at % F.col("_per") * F.col("length"))

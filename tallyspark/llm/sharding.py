@@ -61,14 +61,14 @@ def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.0005, group:
     hash ranges in ring order. Only those bounded summaries reach the driver
     (at most 4 shards / slack groups). A group larger than a whole shard's
     bound cannot be held by one: its rows are dealt in 256 parts by a hash of
-    the whole row. Repeated rows get a slot each; an empty table gives no
+    the whole row (equal rows, where many, evenly). Repeated rows get a slot each; an empty table gives no
     rows; other columns are kept whatever their names, if they don't clash with
     shard and slot, which are then written with an underscore.
     """
     group = F.coalesce(F.col("text"), F.lit("")) if group is None else group
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1 if size is None else size
     key, weight, cell, part, shard, slot, own_key, own_part, home, own_range = columns_free_of(docs, "_key", "_weight", "_cell", "_part", "shard", "slot", "_k", "_p", "_home", "_range")
-    keyed = docs.withColumns({key: F.xxhash64(group), weight: size, part: _part_of(docs)})
+    keyed = with_parts(docs, part).withColumns({key: F.xxhash64(group), weight: size})
     keyed = keyed.withColumn(cell, F.shiftrightunsigned(key, 48).cast("int"))
 
     groups = cut(keyed.groupBy(key, cell).agg(F.sum(weight).alias("total")))
@@ -109,9 +109,36 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*plain, F.lit("part"))
 
 
-def _part_of(df: DataFrame) -> Column:
-    """One of PARTS by the row's own hash; rows that are equal through and through are told apart by chance, which only their balance depends on."""
-    return F.pmod(_row_hash(df), F.lit(PARTS)).cast("int")
+def with_parts(df: DataFrame, name: str) -> DataFrame:
+    """Adds one of PARTS (int) by the row's own hash; rows that are equal through and through and many are dealt to all parts.
+
+    Many: more than a 65,536th of all rows and than 1,024, so at most 65,536
+    hashes are sent round. Those rows are counted (combined before the
+    shuffle) and made again from one row and their count, each with a number
+    that its part depends on: the same parts in every run, whichever task is
+    lost. Rows with a VARIANT or a map cannot be counted and keep their hash's part.
+    """
+    hashed, count, sample, block, at = columns_free_of(df, "_hash", "_count", "_sample", "_block", "_at")
+    part = lambda c: F.pmod(c, F.lit(PARTS)).cast("int")
+    keyed = df.withColumn(hashed, _row_hash(df))
+    if any(isinstance(f.dataType, (MapType, VariantType)) for f in df.schema.fields):
+        return keyed.withColumn(name, part(F.col(hashed))).drop(hashed)
+    counts = keyed.groupBy(hashed).agg(F.count(F.lit(1)).alias(count))
+    least = max(1_024, df.count() >> 16)
+    many = [r[hashed] for r in counts.where(F.col(count) > least).collect()]
+    alone = keyed.withColumn(name, part(F.col(hashed)))
+    if not many:
+        return alone.drop(hashed)
+    hot = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in many], f"`{hashed}` long"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    counted = keyed.join(hot, hashed, "left_semi").groupBy(hashed, *[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(count), F.first(whole).alias(sample)).select(hashed, count, sample)
+    # Blocks of a thousand, dealt out before their rows are made.
+    blocks = counted.select(hashed, count, sample, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / 1_000))).alias(block))
+    blocks = blocks.repartition(F.xxhash64(hashed, block))
+    last = F.least(F.col(block) * 1_000 + 999, F.col(count) - 1)
+    made = blocks.select(hashed, sample, F.explode(F.sequence(F.col(block) * 1_000, last)).alias(at))
+    again = made.select(*[F.col(sample)[c].alias(c) for c in df.columns], part(F.xxhash64(hashed, at)).alias(name))
+    return alone.join(hot, hashed, "left_anti").drop(hashed).unionByName(again)
 
 
 def number(df: DataFrame, group: str, part: str, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tallyspark.llm.sharding import Ring, place, ring_shards
+from tallyspark.llm.sharding import Ring, place, ring_shards, with_parts
 
 
 def test_walks_meet_every_shard_clockwise():
@@ -85,3 +86,24 @@ def test_extra_columns_named_like_internal_ones(spark):
     df = spark.createDataFrame([(i, f"t{i}", *range(len(names))) for i in range(9)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     out = ring_shards(df, shards=2)
     assert out.columns == [*df.columns, "shard", "slot"] and all(tuple(r)[2:-2] == tuple(range(len(names))) for r in out.collect())
+
+
+def test_many_equal_rows_beside_others(spark):
+    """Rows that nothing tells apart are dealt evenly, too, keep their number, and slots stay gapless."""
+    kinds = "doc_id long, text string, x double, tags array<string>"
+    same = (7, "copied through and through " * 4, -0.0, ["a", None])
+    rows = [same] * 6000 + [(i, f"text {i}", float(i), None) for i in range(500)]
+    out = ring_shards(spark.createDataFrame(rows, kinds), shards=8).toPandas()
+    out["size"] = out["text"].str.len() + 1
+    held = out.groupby("shard")["size"].sum()
+    assert len(held) == 8 and held.max() < 1.1 * held.min()
+    assert (out["doc_id"] == 7).sum() == 6001 and len(out) == 6500 and (np.signbit(out["x"])).sum() == 6000
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_equal_rows_reach_all_parts(spark):
+    same = spark.range(0, 5000).selectExpr("1L as doc_id", "'t' as text", "2 as _hash")
+    held = with_parts(same, "p").groupBy("p").count().toPandas()
+    assert held["count"].sum() == 5000 and len(held) == 256 and held["count"].max() < 60
+    variant = same.withColumn("v", F.parse_json(F.lit("{}")))
+    assert with_parts(variant, "p").count() == 5000
