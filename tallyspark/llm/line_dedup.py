@@ -19,8 +19,6 @@ FLIPS = 42
 #: A line has a key for each band, of so many least hashes of its byte 8-grams.
 BANDS, LEAST = 12, 3
 KEYS = [f"key{i}" for i in range(BANDS)]
-#: A list of more lines than this is split by the next band's key: lines that only share a common passage part, near copies stay together.
-CROWD = 50
 #: Most bits of the table of words that is held for a bound; longer lines are compared without it, in memory of their length.
 WORD_TABLE = 1 << 26
 #: Normal forms of fewer bytes are compared exactly only.
@@ -333,12 +331,11 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     traits = ["print1", "print2", "size"]
     rep = [F.min("doc_id").alias("rep"), F.coalesce(F.min_by("version", "doc_id"), F.min("version")).alias("rep_version")]
     nodes = write_table(seen.rows.groupBy("h1", "h2").agg(*rep, *[F.max(c).alias(c) for c in (*traits, *KEYS)], F.count(F.lit(1)).alias("held")).withColumn("node", F.monotonically_increasing_id()))
-    pair = lambda i: F.struct(F.lit(i).cast("long").alias("band"), F.col(KEYS[i]).alias("key"), F.when(F.col("size") > 0, F.col(KEYS[(i + 1) % BANDS])).alias("next"))
+    pair = lambda i: F.struct(F.lit(i).cast("long").alias("band"), F.col(KEYS[i]).alias("key"))
     bands = F.when(F.col("size") > 0, F.array(*map(pair, range(BANDS)))).otherwise(F.array(pair(0)))
-    listed = nodes.rows.select("node", F.explode(bands).alias("at")).select((F.shiftleft("at.band", 32) + F.col("at.key")).alias("key"), "at.next", "node")
+    listed = nodes.rows.select("node", F.explode(bands).alias("at")).select((F.shiftleft("at.band", 32) + F.col("at.key")).alias("key"), "node")
     shared = write_table(listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
-    split = F.when((F.col("held") > CROWD) & F.col("next").isNotNull(), F.xxhash64("key", "next")).otherwise(F.col("key"))
-    entries = write_table(listed.join(small(shared, WANTED), "key").select(split.alias("key"), F.lit(0).alias("block"), "node"))
+    entries = write_table(listed.join(small(shared, WANTED), "key").select("key", F.lit(0).alias("block"), "node"))
     drop_tables(shared)
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -394,9 +391,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     has the hash of the whole as its one key) and whose SimHashes over byte
     8-grams differ in at most FLIPS of 128 bits. This search is not exact: a pair is
     missed where edits leave hardly any run of 8 bytes as it was; README.md
-    gives the measured recall. A key's list of more than CROWD lines is split by
-    the next band's key. Within a key only pairs of different components
-    are tried. The line numbers to remove are broadcast while they are few
+    gives the measured recall. Lists of lines are never split, whatever their
+    length; within a key only pairs of different components are tried. The line numbers to remove are broadcast while they are few
     (WANTED), else joined with the texts.
     """
     version, lines, removed, gone, own_id, own_version = columns_free_of(docs, "_version", "n_lines", "n_removed", "_gone", "_d", "_v")

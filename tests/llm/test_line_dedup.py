@@ -170,3 +170,16 @@ def test_extra_columns_named_like_internal_ones(spark):
     out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _d int, _v int, _version int, first int"))
     assert out.columns == ["doc_id", "text", "_d", "_v", "_version", "first", "n_lines", "n_removed"]
     assert sorted(map(tuple, out.collect())) == [(1, "the same line here", 1, 2, 3, 4, 1, 0), (2, "", 5, 6, 7, 8, 1, 1)]
+
+
+def test_crowds_lose_no_link(spark):
+    """Hundreds of lines of one template are one group, beside as many that only share a passage of half their length and stay."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    template = " ".join(word() for _ in range(14))
+    passage = " ".join(word() for _ in range(9))
+    lines = [f"{template} {word()}" for _ in range(300)] + [f"{passage} {' '.join(word() for _ in range(9))}" for _ in range(120)]
+    docs = [(i, lines[j]) for i, j in enumerate(rng.permutation(len(lines)))]
+    want, _ = brute(docs)
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and sum(t.startswith(template) for t in got.values()) == 1 and sum(t.startswith(passage) for t in got.values()) == 120
