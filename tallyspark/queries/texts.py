@@ -135,3 +135,15 @@ def q_fea(spark, sf_dir):
         F.lit(1e5).alias("e"), F.lit(0.3).alias("nu"), F.lit(0.1).alias("thickness"),
     )
     return shapes.max_von_mises(meshes, "p_partkey").select("p_partkey", F.round("max_stress", 3).alias("max_stress"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)) ELSE text END || ' Straße ÀÉ ' || chr(12288) AS text FROM documents),
+f AS (SELECT doc_id, regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\\p{P}', '', 'g') AS p FROM t)
+SELECT doc_id, sha256(trim(regexp_replace(p, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g'), ' ')) AS profile_sha256 FROM f
+""")
+def q_text_profile(spark, sf_dir):
+    """The digest of every document's exact profile, a third of them with decomposed letters."""
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, apart).otherwise(F.col("text")), F.lit(" Straße ÀÉ \u3000"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.profile(text), 256).alias("profile_sha256"))
