@@ -55,12 +55,20 @@ def _class(holds: Callable[[str], bool]) -> str:
                 ranges[-1][1] = c
             else:
                 ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return _tree(ranges)
+
+
+def _tree(ranges: list[list[int]]) -> str:
+    """Ranges as nested classes, each half tried only within its own span, so that a character meets a few of them and not all."""
+    if len(ranges) <= 3:
+        return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    half = len(ranges) // 2
+    return "[" + "".join(f"[\\x{{{part[0][0]:x}}}-\\x{{{part[-1][1]:x}}}&&{_tree(part)}]" for part in (ranges[:half], ranges[half:])) + "]"
 
 
 @cache
-def _classes() -> tuple[str, str, str, dict[str, str], dict[str, str]]:
-    """Made from Python's own tables: what composition may act on, punctuation, white space, case folding to one character, and what folds to several."""
+def _classes() -> tuple[str, str, str, str, dict[str, str], dict[str, str]]:
+    """Made from Python's own tables: what composition may act on, punctuation, white space, the characters that fold to several, case folding to one character and to several."""
     second = set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
     folds, longer = {}, {}
     for c in map(chr, range(sys.maxunicode + 1)):
@@ -69,7 +77,7 @@ def _classes() -> tuple[str, str, str, dict[str, str], dict[str, str]]:
         if (folded := c.casefold()) != c:
             (folds if len(folded) == 1 else longer)[c] = folded
     unsettled = _class(lambda c: unicodedata.combining(c) > 0 or c in second or unicodedata.normalize("NFC", c) != c)
-    return unsettled, _class(lambda c: unicodedata.category(c).startswith("P")), _class(str.isspace), folds, longer
+    return unsettled, _class(lambda c: unicodedata.category(c).startswith("P")), _class(str.isspace), _class(lambda c: c in longer), folds, longer
 
 
 def profile(text: Column, keep_punctuation: bool = False) -> Column:
@@ -81,12 +89,12 @@ def profile(text: Column, keep_punctuation: bool = False) -> Column:
     both ways give the same. Only the other texts reach an Arrow worker, which
     gets null in place of all that don't need it. Null stays null.
     """
-    unsettled, marks, blank, folds, longer = _classes()
+    unsettled, marks, blank, spread, folds, longer = _classes()
     # The expansion met most often has a plain replacement, the others go character by character where there are any.
     folded = F.replace(text, F.lit("\u00df"), F.lit("ss"))
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    folded = F.when(folded.rlike(_class(lambda c: c in longer)), spelled).otherwise(folded)
+    folded = F.when(folded.rlike(spread), spelled).otherwise(folded)
     folded = F.translate(folded, "".join(folds), "".join(folds.values()))
     bare = folded if keep_punctuation else F.regexp_replace(folded, marks, "")
     settled = F.trim(F.regexp_replace(bare, f"{blank}+", " "))
