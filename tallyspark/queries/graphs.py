@@ -53,6 +53,6 @@ def q_dependency_closure_all(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     parent = F.floor(F.col("p_partkey") / 2).cast("long")
     deps = parts.where("p_partkey > 1").groupBy(name(parent).alias("id")).agg(F.collect_list(name(F.col("p_partkey"))).alias("deps"))
-    packages = parts.select(name(F.col("p_partkey")).alias("id"), F.sha2("p_name", 256).alias("hash")).join(deps, "id", "left")
+    packages = parts.select(name(F.col("p_partkey")).alias("id"), F.sha2("p_name", 256).alias("hash")).join(deps.hint("merge"), "id", "left")
     packages = packages.withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
     return dependency_closure(packages, "p1")

@@ -230,6 +230,22 @@ def test_reachable_with_a_cycle(spark):
     assert values(G.dependency_closure(packages, "r")) == [("r", 0, "h", 2), ("x", 1, "i", 1), ("y", 1, "", 0)]
 
 
+def test_closure_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    monkeypatch.setattr(G, "cut", kept)
+    packages = spark.createDataFrame([(str(i), "h", [str(j) for j in (2 * i, 2 * i + 1) if j < 20]) for i in range(1, 20)], "id string, hash string, deps array<string>")
+    found = G.dependency_closure(packages, "1")
+    assert {(r.id, r.depth) for r in found.collect()} == {(str(i), i.bit_length() - 1) for i in range(1, 20)}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_closure_has_no_silent_depth(spark):
     packages = spark.createDataFrame([(f"n{i}", "h", [f"n{i + 1}"]) for i in range(4)], "id string, hash string, deps array<string>")
     assert G.dependency_closure(packages, "n0", None).count() == 5 and G.dependency_closure(packages, "n0", 4).count() == 5
