@@ -7,8 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def inside(x: Column, y: Column, polygon: list[tuple[int, int]], scale: int = 2) -> Column:
@@ -130,42 +133,100 @@ def redact(df: DataFrame, text: str, patterns: dict[str, str], names: list[str])
     return df.mapInPandas(run, df.selectExpr("*", "cast(null as string) as redacted", "0L as n_spans").schema)
 
 
+#: Bytes of the stiffness matrices that are solved at once.
+_SOLVED_BYTES = 32 << 20
+
+
 def max_von_mises(df: DataFrame, key: str) -> DataFrame:
-    """(key, max_stress) of plane-stress meshes given as one row each: nodes, elements, fixed and loads arrays, e, nu, thickness."""
-    names = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    """(key, max_stress) of plane-stress meshes given as one row each: nodes, elements, fixed and loads arrays, e, nu, thickness.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "max_stress": [_stress(*r) for r in batch[["nodes", "elements", "fixed", "loads", "e", "nu", "thickness"]].itertuples(index=False)]})
+    Meshes of a batch that have the same elements and the same degrees of
+    freedom held and loaded are solved together.
+    """
+    kind = next(f.dataType for f in df.schema.fields if f.name == key)
+    schema = StructType().add(key, kind).add("max_stress", "double")
 
-    return df.mapInPandas(run, f"{key} {names[key]}, max_stress double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(_stresses(batch))], [key, "max_stress"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _whole(column: pa.Array) -> pa.Array:
+    if column.null_count:
+        raise ValueError("a mesh holds a null")
+    return column
+
+
+def _tuples(column: pa.Array, rows: int, width: int) -> np.ndarray:
+    """Lists of equal length, a row each, of lists of so many values."""
+    inner = _whole(column).flatten()
+    if len(inner) and pc.min_max(pc.list_value_length(_whole(inner))).as_py() != {"min": width, "max": width}:
+        raise ValueError(f"a mesh needs {width} numbers to a node or element")
+    return _whole(inner.flatten()).to_numpy(zero_copy_only=False).reshape(rows, len(inner) // rows, width)
+
+
+def _dofs(column: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees of freedom and values of lists of equal length, a row each."""
+    structs = _whole(_whole(column).flatten())
+    return tuple(_whole(structs.field(name)).to_numpy(zero_copy_only=False).reshape(rows, len(structs) // rows) for name in ("dof", "value"))
+
+
+def _stresses(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.full(batch.num_rows, np.nan)
+    lengths = [pc.fill_null(pc.list_value_length(batch.column(c)), -1).to_numpy() for c in ("nodes", "elements", "fixed", "loads")]
+    for of_size in _alike(np.stack(lengths, 1)):
+        part = batch.take(pa.array(of_size))
+        n = len(of_size)
+        xy = _tuples(part.column("nodes"), n, 2).astype(float)
+        elements = _tuples(part.column("elements"), n, 3).astype(int)
+        (fixed, held), (loaded, force) = (_dofs(part.column(c), n) for c in ("fixed", "loads"))
+        e, nu, thickness = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("e", "nu", "thickness"))
+        most = max(1, _SOLVED_BYTES // (8 * (2 * xy.shape[1]) ** 2 or 1))
+        for group in _alike(np.concatenate([elements.reshape(n, -1), fixed, loaded], 1).astype(int)):
+            for at in range(0, len(group), most):
+                g = group[at : at + most]
+                out[of_size[g]] = _stress(xy[g], elements[g[0]], fixed[g[0]], held[g], loaded[g[0]], force[g], e[g], nu[g], thickness[g])
+    return out
 
 
-def _stress(nodes, elements, fixed, loads, e: float, nu: float, thickness: float) -> float:
-    """Linear triangles; fixed and loads are structs of dof (degree of freedom) and value."""
-    xy = np.array([list(p) for p in nodes], float)
-    stiff, parts = np.zeros((2 * len(xy), 2 * len(xy))), []
-    d = e / (1 - nu * nu) * np.array([[1, nu, 0], [nu, 1, 0], [0, 0, (1 - nu) / 2]])
-    for corners in elements:
-        ids = np.array(list(corners), int)
-        p = xy[ids]
-        area2 = abs(np.linalg.det(np.c_[np.ones(3), p]))
-        if area2 == 0:
+def _alike(keys: np.ndarray) -> list[np.ndarray]:
+    """The numbers of equal rows, an array for each of the different ones."""
+    if not len(keys) or (keys == keys[0]).all():
+        return [np.arange(len(keys))] if len(keys) else []
+    which = np.unique(keys, axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(which, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(which[order])) + 1)
+
+
+def _stress(xy, elements, fixed, held, loaded, force, e, nu, thickness) -> np.ndarray:
+    """Linear triangles of many meshes; elements and the degrees of freedom fixed and loaded are those of all, the rest has a row for each."""
+    n, size = len(xy), 2 * xy.shape[1]
+    stiff, parts = np.zeros((n, size, size)), []
+    d = np.zeros((n, 3, 3))
+    d[:, 0, 0] = d[:, 1, 1] = 1
+    d[:, 0, 1] = d[:, 1, 0] = nu
+    d[:, 2, 2] = (1 - nu) / 2
+    d *= (e / (1 - nu * nu))[:, None, None]
+    for ids in elements:
+        p = xy[:, ids]
+        area2 = np.abs(np.linalg.det(np.concatenate([np.ones((n, 3, 1)), p], 2)))
+        if (area2 == 0).any():
             raise ValueError("degenerate triangle")
-        b, c = np.roll(p[:, 1], -1) - np.roll(p[:, 1], 1), np.roll(p[:, 0], 1) - np.roll(p[:, 0], -1)
-        strain = np.zeros((3, 6))
-        strain[0, ::2], strain[1, 1::2], strain[2, ::2], strain[2, 1::2] = b, c, c, b
-        strain /= area2
+        b, c = np.roll(p[:, :, 1], -1, 1) - np.roll(p[:, :, 1], 1, 1), np.roll(p[:, :, 0], 1, 1) - np.roll(p[:, :, 0], -1, 1)
+        strain = np.zeros((n, 3, 6))
+        strain[:, 0, ::2], strain[:, 1, 1::2], strain[:, 2, ::2], strain[:, 2, 1::2] = b, c, c, b
+        strain /= area2[:, None, None]
         dofs = np.stack([2 * ids, 2 * ids + 1], 1).ravel()
-        stiff[np.ix_(dofs, dofs)] += area2 / 2 * thickness * strain.T @ d @ strain
+        stiff[:, dofs[:, None], dofs] += (area2 / 2 * thickness)[:, None, None] * (strain.transpose(0, 2, 1) @ d @ strain)
         parts.append((dofs, strain))
-    force = np.zeros(len(stiff))
-    for load in loads:
-        force[int(load["dof"])] += load["value"]
-    held = {int(f["dof"]): f["value"] for f in fixed}
-    free = np.array([i for i in range(len(stiff)) if i not in held])
-    moved = np.zeros(len(stiff))
-    moved[list(held)] = list(held.values())
-    moved[free] = np.linalg.solve(stiff[np.ix_(free, free)], force[free])
-    stresses = [d @ strain @ moved[dofs] for dofs, strain in parts]
-    return float(max(np.sqrt(x * x - x * y + y * y + 3 * s * s) for x, y, s in stresses))
+    forces, moved = np.zeros((n, size)), np.zeros((n, size))
+    for i, dof in enumerate(loaded):
+        forces[:, int(dof)] += force[:, i]
+    for i, dof in enumerate(fixed):
+        moved[:, int(dof)] = held[:, i]
+    free = np.array([i for i in range(size) if i not in {int(x) for x in fixed}], int)
+    moved[:, free] = np.linalg.solve(stiff[:, free[:, None], free], forces[:, free, None])[:, :, 0]
+    x, y, s = np.moveaxis(np.stack([(d @ strain @ moved[:, dofs, None])[:, :, 0] for dofs, strain in parts], 1), 2, 0)
+    return np.sqrt(x * x - x * y + y * y + 3 * s * s).max(1)

@@ -6,7 +6,7 @@ from tallyspark.functions import text as T
 from tallyspark.operators import shapes
 from tallyspark.queries import query
 from tallyspark.sources.files import admit, cid, json_depth, parse_tolerant
-from tallyspark.sources.tables import table
+from tallyspark.sources.tables import dealt, table
 
 
 @query(r"""
@@ -126,7 +126,7 @@ def q_viterbi(spark, sf_dir):
 @query()
 def q_fea(spark, sf_dir):
     """No statement: a test holds it against a bar under tension. One two-triangle plate per part, pulled by its price."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("load"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("load")))
     nodes = F.expr("array(array(0d, 0d), array(1d, 0d), array(1d, 1d), array(0d, 1d))")
     meshes = parts.select(
         "p_partkey", nodes.alias("nodes"), F.expr("array(array(0, 1, 2), array(0, 2, 3))").alias("elements"),

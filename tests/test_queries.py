@@ -6,8 +6,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tallyspark.operators import shapes
 from tallyspark.operators.shapes import OUTSIDE, _bioes, _biases, decode
 from tallyspark.queries import ORACLES, QUERIES
 
@@ -87,3 +89,20 @@ def test_mesh_under_tension(spark):
     prices = {r.p_partkey: r.p_retailprice for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
     for r in QUERIES["q_fea"](spark, SF).collect():
         assert r.max_stress == pytest.approx(prices[r.p_partkey] / 0.1, rel=1e-4)
+
+
+def test_meshes_are_solved_together_and_in_many_tasks(spark, monkeypatch):
+    assert QUERIES["q_fea"](spark, SF).rdd.getNumPartitions() == 4
+    solved, solve = [], shapes._stress
+    monkeypatch.setattr(shapes, "_stress", lambda *a: solved.append(len(a[0])) or solve(*a))
+    held = [{"dof": d, "value": 0.0} for d in (0, 1, 6)]
+    plate = lambda load, **other: {"nodes": [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]], "elements": [[0, 1, 2], [0, 2, 3]], "fixed": held, "loads": [{"dof": d, "value": load / 2} for d in (2, 4)], "e": 1e5, "nu": 0.3, "thickness": 0.1} | other
+    triangle = plate(0, nodes=[[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]], elements=[[0, 1, 2]], fixed=[{"dof": d, "value": 0.0} for d in (0, 1, 4)], loads=[{"dof": 2, "value": 1.0}])
+    rows = [plate(float(i)) if i % 3 else triangle for i in range(1000)] + [plate(5.0, elements=[[0, 1, 3], [1, 2, 3]], loads=[{"dof": d, "value": 5.0 / n} for d, n in ((2, 2), (4, 4), (4, 4))])]
+    got = shapes._stresses(pa.RecordBatch.from_pylist(rows))
+    assert sorted(solved) == [1, 334, 666]
+    assert got[0] == pytest.approx(shapes._stresses(pa.RecordBatch.from_pylist([triangle]))[0])
+    assert got[1:1000].tolist() == pytest.approx([10.0 * i if i % 3 else got[0] for i in range(1, 1000)]) and got[1000] == pytest.approx(50)
+    for bad in ({"nodes": [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0]]}, {"elements": [[0, 1], [2, 0, 2, 3]]}, {"loads": [{"dof": 2, "value": None}]}, {"nodes": None}):
+        with pytest.raises(ValueError):
+            shapes._stresses(pa.RecordBatch.from_pylist([plate(1.0), plate(1.0, **bad)]))
