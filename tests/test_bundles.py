@@ -89,6 +89,17 @@ def test_store(spark, tmp_path):
     assert open(f"{root}/{put[0].path}").read() == "changed"
 
 
+def test_equal_contents_touch_the_store_once(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(B, "cut", lambda df: seen.append(df) or df.checkpoint())
+    contents = spark.range(0, 20_000, 1, 8).select(F.concat(F.lit("kind "), (F.col("id") % 30).cast("string")).alias("content"))
+    put = B.put_all(contents, str(tmp_path / "s"))
+    assert put.count() == put.select("cid").distinct().count() == 30
+    seen[0].collect()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("MapInArrow") < plan.index("HashAggregate")
+
+
 def test_cids(spark):
     texts = ["sha256:" + "a" * 64, "sha256:" + "a" * 63, "sha256:" + "A" * 64, "md5:0a", "sha256:", ":aa", "sha256:" + "a" * 64 + "\n", None]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", B.valid_cid(F.col("t")).alias("ok")).orderBy("i").collect()
