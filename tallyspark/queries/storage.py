@@ -8,7 +8,7 @@ from tallyspark.queries import query
 from tallyspark.sources import bundles as B
 from tallyspark.sources.lineage import shared_folder
 from tallyspark.sources.ranges import read_fixed_width
-from tallyspark.sources.tables import table
+from tallyspark.sources.tables import dealt, table
 
 
 def _new_folder(spark, name):
@@ -23,7 +23,7 @@ def q_bundle_write(spark, sf_dir):
     folder = F.when(F.col("doc_id") % 10 == 3, "spec/").otherwise(F.concat(F.lit("docs/"), (F.col("doc_id") % 16).cast("string"), F.lit("/")))
     files = table(spark, sf_dir, "documents").select(F.concat(folder, F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     root = _new_folder(spark, "bundle")
-    B.write_bundle(files, root, {"schema_version": "1"})
+    B.write_bundle(dealt(files), root, {"schema_version": "1"})
     sizes = B.listing(spark, root).where("kind = 'file'").select("path", "size")
     state = F.coalesce("fault", F.lit("sound"))
     return B.read_manifest(spark, root).join(sizes, "path").join(B.bundle_faults(spark, root), "path", "left").select("path", "sha256", "size", state.alias("state"))

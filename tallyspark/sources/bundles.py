@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 from tallyspark.sources.lineage import cut
+from tallyspark.sources.tables import tasks
 
 MANIFEST = "manifest.json"
 #: Names at the top of a bundle that no file may have.
@@ -117,20 +118,23 @@ class _BundleWriter(DataSourceWriter):
             os.makedirs(os.path.join(self.stage, name))
 
     def write(self, rows: Iterator) -> Written:
-        done, size = [], 0
+        done, size, made, files = [], 0, set(), os.path.join(self.stage, "files")
         for row in rows:
-            fault = path_fault(row.path)
-            if fault or row.content is None:
-                raise ValueError(f"path {row.path!r} {fault}" if fault else f"{row.path!r} has no content")
-            target = os.path.join(self.stage, "files", row.path)
-            _make_below(os.path.join(self.stage, "files"), os.path.dirname(row.path))
+            path, content = row.path, row.content
+            fault = path_fault(path)
+            if fault or content is None:
+                raise ValueError(f"path {path!r} {fault}" if fault else f"{path!r} has no content")
+            target = os.path.join(files, path)
+            if (folder := os.path.dirname(path)) not in made:
+                _make_below(files, folder)
+                made.add(folder)
             # A task that runs twice writes the same bytes; the last one's name is moved over the first's.
             partial = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
             with open(partial, "xb") as f:
-                f.write(row.content)
+                f.write(content)
             os.replace(partial, target)
-            done.append((row.path, len(row.content), hashlib.sha256(row.content).hexdigest()))
-            size += len(row.content)
+            done.append((path, len(content), hashlib.sha256(content).hexdigest()))
+            size += len(content)
         listing = os.path.join(self.stage, "lists", uuid.uuid4().hex)
         with open(listing, "x", encoding="utf-8") as f:
             f.writelines(json.dumps(x, ensure_ascii=False) + "\n" for x in sorted(done))
@@ -315,9 +319,10 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
                 if out:
                     yield _batch(out, names)
 
+    parts = tasks(spark)
     levels = [cut(spark.createDataFrame([("",)], "path string").mapInArrow(look, _LISTED))]
     while not (folders := levels[-1].where("kind = 'folder'").select("path")).isEmpty():
-        levels.append(cut(folders.repartition("path").mapInArrow(look, _LISTED)))
+        levels.append(cut(folders.repartition(parts, "path").mapInArrow(look, _LISTED)))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -362,23 +367,21 @@ def _each(files: DataFrame, root: str, into: str | None) -> DataFrame:
     root = os.path.abspath(local(root))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        real = os.path.realpath(root)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                yield _batch_of_one(*_pass(root, path, into))
+            done = [_pass(root, real, path, into) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "size", "sha256"])
 
-    return files.select("path").mapInArrow(run, _DIGESTED)
+    # Names are few bytes for much work, so they are dealt to all tasks, not by bytes.
+    return files.select("path").repartition(tasks(files.sparkSession), "path").mapInArrow(run, _DIGESTED)
 
 
-def _batch_of_one(path: str, size: int, digest: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([digest])], ["path", "size", "sha256"])
-
-
-def _pass(root: str, path: str, into: str | None) -> tuple[str, int, str]:
-    """Reads a file once, to its digest and perhaps a copy; the source is compared before and after."""
+def _pass(root: str, real: str, path: str, into: str | None) -> tuple[str, int, str]:
+    """Reads a file once, to its digest and perhaps a copy; the source is compared before and after. real: where the root is without links."""
     if fault := path_fault(path, reserved=False):
         raise ValueError(f"path {path!r} {fault}")
     source = os.path.join(root, path)
-    if os.path.realpath(source) != os.path.join(os.path.realpath(root), path):
+    if os.path.realpath(source) != os.path.join(real, path):
         raise ValueError(f"reached through a link: {path}")
     # No link is followed at the end of the path, and a pipe without a writer doesn't block.
     handle = os.open(source, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)

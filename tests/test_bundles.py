@@ -126,6 +126,16 @@ def test_listing_and_sealing(spark, tmp_path):
     assert B.listing(spark, str(root / "a/b/c")).count() == 0
 
 
+def test_digests_of_one_folder_are_many_tasks(spark, tmp_path):
+    (tmp_path / "r/a").mkdir(parents=True)
+    for i in range(40):
+        (tmp_path / "r/a" / f"f{i}").write_bytes(bytes([i]) * i)
+    files = B.listing(spark, str(tmp_path / "r")).where("kind = 'file'").coalesce(1)
+    got = B.with_digests(files, str(tmp_path / "r"))
+    assert got.rdd.getNumPartitions() == 4
+    assert {r.path: (r.size, r.sha256) for r in got.collect()} == {f"a/f{i}": (i, hashlib.sha256(bytes([i]) * i).hexdigest()) for i in range(40)}
+
+
 @pytest.mark.parametrize(("width", "signed"), [(1, "true"), (1, "false"), (2, "true"), (4, "false"), (8, "true")])
 def test_ranges_of_one_file_are_many_tasks(spark, tmp_path, width, signed):
     data = os.urandom(8 * 1000)
