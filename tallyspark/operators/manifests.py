@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.invariants import outside, union_all
 from tallyspark.operators.records import fragments, three_set_mismatch
+from tallyspark.sources.lineage import cut
 
 #: Fixed values.
 MODES = ["verified_extractive", "exploratory_synthesis"]
@@ -66,11 +67,11 @@ def manifest_faults(m: Manifests) -> DataFrame:
     compared without case. Repeated rows give repeated faults; a row whose
     bundle is null belongs to none and is left to a look at its own table.
     """
-    bundles, snapshots = m.bundles, m.snapshots
-    paths = m.files.groupBy("bundle", "path").agg(F.min(F.lower("cid")).alias("found"))
-    stored = snapshots.join(paths, ["bundle", "path"], "left")
-    held = snapshots.select("bundle", "cid").distinct()
-    have = snapshots.select("bundle").distinct()
+    # What many checks read is worked out once; else each of the union's branches would make it anew.
+    bundles, paths = cut(m.bundles), cut(m.files.groupBy("bundle", "path").agg(F.min(F.lower("cid")).alias("found")))
+    stored = cut(m.snapshots.join(paths, ["bundle", "path"], "left"))
+    held = stored.select("bundle", "cid").distinct()
+    have = cut(stored.select("bundle").distinct())
     has_file = paths.select("bundle", "path", F.lit(True).alias("there"))
 
     policies = bundles.where("policy_sha is not null").select("bundle", F.lower("policy_sha").alias("in_force"))
@@ -79,7 +80,8 @@ def manifest_faults(m: Manifests) -> DataFrame:
     anchors = fragments(m.anchors, "fragment").withColumnRenamed("reason", "fault").withColumn("cid", F.col("fragment.source_cid"))
     lost = stored.where("found is null").select("bundle", "cid").distinct()
 
-    sources = m.attributes.join(held.withColumn("held", F.lit(True)), ["bundle", "cid"], "left")
+    attributes = cut(m.attributes)
+    sources = attributes.join(held.withColumn("held", F.lit(True)), ["bundle", "cid"], "left")
     unknown = F.col("bundle").isNotNull() & ~F.coalesce(F.col("publication_class").isin(PUBLICATION_CLASSES), F.lit(False))
     unfit = (
         F.when(F.col("held").isNull(), "no snapshot")
@@ -90,24 +92,25 @@ def manifest_faults(m: Manifests) -> DataFrame:
 
     logs = bundles.where("decision_log is not null").select("bundle", F.col("decision_log").alias("path"))
     decided = m.decisions.select("bundle", "path", "cid").distinct()
-    undecided = m.attributes.select("bundle", "cid").distinct().join(logs.join(has_file, ["bundle", "path"], "left_semi"), "bundle").join(decided, ["bundle", "path", "cid"], "left_anti")
+    undecided = attributes.select("bundle", "cid").distinct().join(logs.join(has_file, ["bundle", "path"], "left_semi"), "bundle").join(decided, ["bundle", "path", "cid"], "left_anti")
 
-    traced = bundles.where("trace_log is not null").select("bundle", "trace", F.col("trace_log").alias("path")).join(has_file, ["bundle", "path"], "left")
-    times = m.traces.groupBy("bundle", "path", "trace").agg(F.count(F.lit(1)).alias("times"))
+    traced = cut(bundles.where("trace_log is not null").select("bundle", "trace", F.col("trace_log").alias("path")).join(has_file, ["bundle", "path"], "left"))
+    traces, outputs = cut(m.traces), cut(m.outputs)
+    times = traces.groupBy("bundle", "path", "trace").agg(F.count(F.lit(1)).alias("times"))
     loaded = traced.join(times, ["bundle", "path", "trace"], "left")
     unloaded = F.when(F.col("there").isNull(), "no log").when(F.col("trace").isNotNull() & F.col("times").isNull(), "no trace").when(F.col("times") > 1, "ambiguous trace")
 
-    own_traces = m.traces.join(traced.where("there").select("bundle", "path"), ["bundle", "path"], "left_semi")
+    own_traces = traces.join(traced.where("there").select("bundle", "path"), ["bundle", "path"], "left_semi")
     candidates = own_traces.join(bundles.select("bundle", "trace"), ["bundle", "trace"], "left_semi").select("bundle", F.explode("candidates").alias("cid")).distinct()
-    astray = candidates.join(m.attributes.select("bundle", "cid"), ["bundle", "cid"], "left_semi").join(have, "bundle", "left_semi").join(held, ["bundle", "cid"], "left_anti")
+    astray = candidates.join(attributes.select("bundle", "cid"), ["bundle", "cid"], "left_semi").join(have, "bundle", "left_semi").join(held, ["bundle", "cid"], "left_anti")
 
     parts = ["output", "trace", "emitted_at", "retrieved", "injected", "quoted"]
     missing = F.exists(F.array(*[F.col(p).isNull() for p in parts]), lambda x: x)
     at = lambda c: F.struct("bundle", c)
-    whole = m.outputs.where(~missing).withColumns({"output": at("output"), "trace": at("trace")})
+    whole = outputs.where(~missing).withColumns({"output": at("output"), "trace": at("trace")})
     sets = three_set_mismatch(whole, own_traces.select(at("trace").alias("trace"), "candidates", "context"), "trace").select("output.*", "reason")
 
-    modes = m.outputs.join(bundles.select("bundle", "mode"), "bundle")
+    modes = outputs.join(bundles.select("bundle", "mode"), "bundle")
     leaf = F.when(F.col("header_leaf").isNotNull() & ~F.coalesce(F.lower("header_leaf") == F.sha2("header", 256), F.lit(False)), "header differs")
     return union_all([
         _found(bundles.where("policy_sha is null").join(have, "bundle", "left_semi"), 6, None, "no policy"),
@@ -120,8 +123,8 @@ def manifest_faults(m: Manifests) -> DataFrame:
         _found(bundles.where("trace is not null and trace_log is null"), 13, "trace", "no log named"),
         _found(loaded, 14, "trace", unloaded),
         _found(astray, 15, "cid", "candidate without a snapshot"),
-        _found(m.outputs.where(missing), 16, "output", "missing field").unionByName(_found(sets, 16, "output", F.col("reason"))),
-        _found(bundles.where("mode is null").join(m.outputs, "bundle", "left_semi"), 17, None, "no mode"),
+        _found(outputs.where(missing), 16, "output", "missing field").unionByName(_found(sets, 16, "output", F.col("reason"))),
+        _found(bundles.where("mode is null").join(outputs, "bundle", "left_semi"), 17, None, "no mode"),
         _found(outside(bundles.where("mode is not null"), "mode", MODES), 18, "mode", "unknown mode"),
         _found(modes.where((F.col("mode") == MODES[0]) & (F.coalesce(F.size("quoted"), F.lit(0)) <= 0)), 19, "output", "nothing quoted"),
         _found(bundles, 20, None, leaf),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.manifests import Manifests, first_faults, manifest_faults
 from tallyspark.queries import query
+from tallyspark.sources.lineage import cut
 from tallyspark.sources.tables import table
 
 
@@ -14,12 +15,14 @@ def _manifests(spark, sf_dir) -> Manifests:
     final = orders.where("o_orderstatus = 'F'")
     sets = orders.groupBy("bundle").agg(e("array_sort(collect_list(case when o_orderstatus = 'F' then struct(cid, k) end))").alias("all"))
     sets = sets.selectExpr("bundle", "concat('t', bundle) as trace", "transform(all, x -> x.cid) as candidates", "transform(filter(all, x -> x.k % 2 = 0), x -> x.cid) as context", "transform(filter(all, x -> x.k % 4 = 0), x -> x.cid) as quoted")
+    sets = cut(sets)
     bundles = table(spark, sf_dir, "customer").join(sets.select(F.col("bundle").alias("c_custkey")), "c_custkey").withColumnRenamed("c_custkey", "bundle")
     bundles = bundles.selectExpr(
         "bundle", "case when bundle % 40 <> 6 then sha2('policy', 256) end as policy_sha", "'decisions.jsonl' as decision_log", "concat('t', bundle) as trace", "case when bundle % 45 <> 13 then 'trace.jsonl' end as trace_log",
         "case when bundle % 67 = 17 then null when bundle % 71 = 18 then 'loud' when bundle % 2 = 0 then 'verified_extractive' else 'exploratory_synthesis' end as mode",
         "concat(bundle, '|', c_name) as header", "case when bundle % 3 > 0 then upper(sha2(case when bundle % 73 = 20 then 'x' else concat(bundle, '|', c_name) end, 256)) end as header_leaf",
     )
+    bundles = cut(bundles)
     files = orders.where("k % 211 <> 7").selectExpr("bundle", "path", "case when k % 223 = 8 then 'sha256:0' else cid end as cid")
     files = files.unionByName(bundles.where("bundle % 41 <> 12").selectExpr("bundle", "'decisions.jsonl' as path", "'' as cid"))
     files = files.unionByName(bundles.where("bundle % 43 <> 14").selectExpr("bundle", "'trace.jsonl' as path", "'' as cid"))

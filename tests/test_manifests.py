@@ -3,6 +3,7 @@
 import hashlib
 
 from tallyspark.operators.manifests import Manifests, first_faults, manifest_faults
+from tallyspark.queries import QUERIES
 
 SCHEMAS = {
     "bundles": "bundle string, policy_sha string, decision_log string, trace string, trace_log string, mode string, header string, header_leaf string",
@@ -81,3 +82,8 @@ def test_each_check_finds_its_own_fault(spark):
 def test_no_bundles(spark):
     m = Manifests(**{t: spark.createDataFrame([], s) for t, s in SCHEMAS.items()})
     assert first_faults(m.bundles, manifest_faults(m)).collect() == []
+
+
+def test_what_many_checks_read_is_made_once(spark):
+    plan = QUERIES["q_manifest_deep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "c_custkey" not in plan and plan.count("FileScan parquet") <= 4
