@@ -8,7 +8,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +26,10 @@ SPAN = 4
 SHARED = 2_000_000
 #: Sets that are compared with one centre in one group of rows; a larger group is split.
 GROUP = 500
-#: Bits of a set's parity map.
+#: Bits of a set's narrow parity map, which goes with its entries of the index.
 BITS = 256
+#: Bytes of sets that a worker hands on at a time, or one set.
+HANDED_ON = 1 << 22
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -40,6 +41,16 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(words[first[i] : first[i + 1]], n))
 
 
+def parity_map(tokens: np.ndarray, least: int = BITS) -> np.ndarray:
+    """Which cells hold an odd number of shingles, one bit a cell: a power of two of them, `least` and as many as shingles at least.
+
+    A cell is a shingle's low bits, so halves of a map laid over each other (xor) are the map of half as many cells.
+    """
+    cells = max(least, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def digest_of(shingles: bytes) -> bytes:
     return hashlib.blake2b(shingles, digest_size=16).digest()
 
@@ -89,7 +100,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _profile(batches: Iterator[pa.RecordBatch], frequent, n: int, percent: int) -> Iterator[pa.RecordBatch]:
     common, held = frequent.value
     for batch in batches:
-        sizes, digests, prefixes, bits = [], [], [], []
+        sizes, digests, prefixes, bits, maps = [], [], [], [], []
         for tokens in shingle_sets(batch["text"], n):
             size = len(tokens)
             sizes.append(size)
@@ -102,16 +113,33 @@ def _profile(batches: Iterator[pa.RecordBatch], frequent, n: int, percent: int)
             prefixes.append(ranked.view(np.int64))
             odd = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1
             bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "version", "n_shingles", "digest", "prefix", "bits"])
+            maps.append(parity_map(tokens))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, maps))], ["doc_id", "version", "n_shingles", "digest", "prefix", "bits", "map"])
 
 
 def _asked_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The set of each text once for each comparison that asks for it."""
+    """The set of each text once for each comparison that asks for it, in batches of about HANDED_ON bytes."""
+    asks: list[pa.Array] = []
+    sets: list[bytes] = []
+    size = 0
+
+    def flush():
+        return pa.RecordBatch.from_arrays([*pa.concat_arrays(asks).flatten(), pa.array(sets, pa.binary())], ["centre", "part", "node", "shingles"])
+
     for batch in batches:
-        asks = batch["asks"]
-        held = pc.list_value_length(asks).to_numpy(zero_copy_only=False)
-        sets = pa.array([tokens.tobytes() for tokens in shingle_sets(batch["text"], n)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*asks.flatten().flatten(), sets.take(pa.array(np.repeat(np.arange(len(held)), held)))], ["centre", "part", "node", "shingles"])
+        for i, tokens in enumerate(shingle_sets(batch["text"], n)):
+            asked, held = batch["asks"][i].values, tokens.tobytes()
+            few = max(1, HANDED_ON // max(1, len(held)))
+            for lo in range(0, len(asked), few):
+                part = asked.slice(lo, few)
+                asks.append(part)
+                sets += [held] * len(part)
+                size += len(held) * len(part)
+                if size >= HANDED_ON:
+                    yield flush()
+                    asks, sets, size = [], [], 0
+    if asks:
+        yield flush()
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -128,6 +156,19 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _screened(pairs: Table, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose whole parity maps leave room for the overlap; only the maps of sets in pairs are shuffled."""
+    wanted = pairs.rows.select(F.col("a").alias("node")).union(pairs.rows.select("b")).distinct()
+    maps = nodes.join(F.broadcast(wanted) if 2 * pairs.count <= WANTED else wanted, "node", "left_semi")
+    side = lambda c: maps.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("map").alias(f"map_{c}"))
+    both = pairs.rows.join(side("a"), "a").join(side("b"), "b")
+    cells = F.least(F.size("map_a"), F.size("map_b"))
+    # The wider map is laid over itself until it has the other's cells.
+    folded = lambda m, i: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(m) / cells).cast("int") - 1), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(m, i + k * cells)))
+    apart = F.aggregate(F.sequence(F.lit(0), cells - 1), F.lit(0), lambda n, i: n + F.bit_count(folded("map_a", i).bitwiseXOR(folded("map_b", i))))
+    return both.where(_room("a", "b", percent) >= apart).select("a", "b")
+
+
 def _compared(docs: DataFrame, nodes: DataFrame, pairs: Table, n: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose whole sets link.
 
@@ -173,11 +214,11 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     session = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
     frequent = session.sparkContext.broadcast(frequent_shingles(docs, n))
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, n_shingles long, digest binary, prefix array<long>, bits array<long>"
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, n_shingles long, digest binary, prefix array<long>, bits array<long>, map array<long>"
     rows = write_table(docs.mapInArrow(lambda it: _profile(it, frequent, n, percent), kinds))
     frequent.unpersist()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep")
-    nodes = write_table(rows.rows.where("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = write_table(rows.rows.where("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("map").alias("map")).withColumn("node", F.monotonically_increasing_id()))
     # A block spans a factor of 100 / percent in size, so what links is of one block or of neighbouring ones. The index
     # has a list for each shingle and SPAN blocks; sets of a span's first block stand in the span below too.
     size_block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -200,7 +241,13 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         side = lambda c: nodes.rows.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), *[w.alias(f"bits{i}_{c}") for i, w in enumerate(words)])
         return pairs.join(side("a"), "a").join(side("b"), "b").where(_maps_allow("a", "b", percent)).select("a", "b")
 
-    joined = linked_components(entries, traits, screen, near, lambda pairs: write_table(_compared(docs, nodes.rows, pairs, n, percent)))
+    def verify(pairs: Table) -> Table:
+        left = write_table(_screened(pairs, nodes.rows, percent))
+        links = write_table(_compared(docs, nodes.rows, left, n, percent))
+        drop_tables(left)
+        return links
+
+    joined = linked_components(entries, traits, screen, near, verify)
     drop_tables(shared, entries)
     placed = nodes.rows.select("node", "digest", F.col("rep.doc_id").alias("rep")).join(joined.rows.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -217,7 +264,12 @@ def _need(x: str, y: str, percent: int) -> Column:
 def _maps_allow(x: str, y: str, percent: int) -> Column:
     """Whether parity maps leave room for the overlap: a bit that differs is at least one shingle that does."""
     apart = sum((F.bit_count(F.col(f"bits{i}_{x}").bitwiseXOR(F.col(f"bits{i}_{y}"))) for i in range(BITS // 64)), F.lit(0))
-    return F.col(f"size_{x}") + F.col(f"size_{y}") - 2 * _need(f"size_{x}", f"size_{y}", percent) >= apart
+    return _room(x, y, percent) >= apart
+
+
+def _room(x: str, y: str, percent: int) -> Column:
+    """How many shingles may be in one of two sets that link and not in the other."""
+    return F.col(f"size_{x}") + F.col(f"size_{y}") - 2 * _need(f"size_{x}", f"size_{y}", percent)
 
 
 def _possible(n_x: str, n_y: str, i: str, j: str, percent: int) -> Column:

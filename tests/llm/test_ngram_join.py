@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyspark.llm._common import NON_SPACE, shingle_hashes, steps, word_hashes, word_spans
+from tallyspark.llm._common import NON_SPACE, shingle_hashes, steps, word_hashes, word_spans, write_table
 from tallyspark.llm._graph import components
-from tallyspark.llm.ngram_join import _linked, overlap, shingle_sets, similar_sets
+from tallyspark.llm.ngram_join import _asked_sets, _linked, _screened, overlap, parity_map, shingle_sets, similar_sets
 
 
 def plain_set(text, n):
@@ -138,3 +138,27 @@ def test_overlap():
         for b in range(1, 40):
             least = next(i for i in range(100) if 100 * i >= 90 * (a + b - i))
             assert overlap(a, b, 90) == least
+
+
+def test_whole_maps_screen_large_sets_and_lose_no_link(spark):
+    """Sets of thousands of shingles: 256 cells cannot tell them apart, as many cells as shingles can; also between maps of unlike width."""
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [np.unique(x) for x in (tokens[:4000], np.append(tokens[:3900], tokens[4000:4100]), tokens[:4200], tokens[:3600], np.append(tokens[:3000], tokens[4000:5000]), tokens[4000:8100], tokens[:300], tokens[:255])]
+    nodes = spark.createDataFrame([(i, len(x), parity_map(x).tolist()) for i, x in enumerate(sets)], "node long, size long, map array<long>")
+    assert {len(parity_map(x)) for x in sets} == {64, 128, 8, 4}
+    pairs = write_table(spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i)], "a long, b long"))
+    left = {(r.a, r.b) for r in _screened(pairs, nodes, 90).collect()}
+    link = {(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
+    assert {(1, 0), (2, 0), (3, 0)} <= link <= left and not {(4, 0), (4, 1), (5, 0), (5, 1), (5, 2)} & left
+
+
+def test_asked_sets_come_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr("tallyspark.llm.ngram_join.HANDED_ON", 100)
+    kind = pa.list_(pa.struct([("centre", pa.int64()), ("part", pa.int32()), ("node", pa.int64())]))
+    asks = [[{"centre": c, "part": 0, "node": None if c == k else k} for c in range(n)] for k, n in enumerate((9, 1, 3))]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d", "", "a b"]), pa.array(asks, kind)], ["text", "asks"])
+    out = list(_asked_sets(iter([batch]), 1))
+    sets = [x.tobytes() for x in shingle_sets(batch["text"], 1)]
+    assert len(out) > 1 and max(b.nbytes for b in out) < 400
+    assert [r for b in out for r in b.to_pylist()] == [ask | {"shingles": sets[k]} for k, part in enumerate(asks) for ask in part]
