@@ -44,13 +44,14 @@ def _stars(edges: DataFrame) -> DataFrame:
     return ends.select("e.*").where("a <> b").distinct()
 
 
-def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame], DataFrame], verify: Callable[[Table], Table]) -> Table:
+def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame, bool], DataFrame], verify: Callable[[Table], Table]) -> Table:
     """The components, as edges to their smallest nodes, of the graph whose links are the verified pairs among nodes that share a key.
 
     entries: (key, block, node, ...) with keys of two nodes or more; traits:
-    (node, ...) that near() also needs. near(left, right) joins two such sets
-    on what can link, giving (a, b); screen(pairs) keeps those of (a, b) that
-    can; verify(pairs) keeps those that do link.
+    (node, ...) that near() also needs. near(left, right, once) joins two such
+    sets on what can link, giving (a, b) for each key that both have or, if it
+    can and once is set, for one of them; screen(pairs) keeps those of (a, b)
+    that can; verify(pairs) keeps those that do link.
 
     1. Each node is tried against one centre: of the nodes that have most
        keys in common with others in its keys (in a group of near copies those
@@ -77,9 +78,9 @@ def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataF
         last = not links.count or open_.also["load"] <= LOAD * entries.count or open_.also["load"] > load / 2
         load = open_.also["load"]
         if last:
-            pairs = near(outside, open_.rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            pairs = near(outside, open_.rows, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         else:
-            pairs = _met_most(near(outside, _one_of_the_largest(open_.rows)))
+            pairs = _met_most(near(outside, _one_of_the_largest(open_.rows), False))
         for t in tried:
             pairs = pairs.join(t.rows.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
         tried.append(write_table(pairs))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ KEYS = [f"key{i}" for i in range(BANDS)]
 WORD_TABLE = 1 << 26
 #: Normal forms of fewer bytes are compared exactly only.
 FUZZY_CHARS = 20
+#: Lines that are compared with one line in one group of rows; a larger group is split.
+GROUP = 100
 #: Most rows of a relation of ids, keys or line numbers that is broadcast (8 to 60 bytes each); a larger one is joined.
 WANTED = 500_000
 
@@ -299,9 +301,16 @@ def near_enough(a: str, b: str, percent: int) -> bool:
 
 
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the lines that are near enough to the centre of their group, which comes first in it and has no node."""
+    now, centre = None, ""
     for batch in batches:
-        keep = [near_enough(x, y, percent) for x, y in zip(batch["form_a"].to_pylist(), batch["form_b"].to_pylist(), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        found = []
+        for group, part, node, form in zip(*(batch[c].to_pylist() for c in ("centre", "part", "node", "form")), strict=True):
+            if node is None:
+                now, centre = (group, part), form
+            elif (group, part) == now and near_enough(form, centre, percent):
+                found.append((node, group))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -323,6 +332,23 @@ def _forms(docs: DataFrame, nodes: DataFrame, pairs: Table) -> DataFrame:
     return texts.mapInArrow(_lines, "node long, form string").groupBy("node").agg(F.first("form").alias("form"))
 
 
+def _first_shared(key: Column, a: str, b: str) -> Column:
+    """Whether two lines that have this key in common share none of an earlier band."""
+    band = F.shiftright(key + F.lit(1 << 31), 32)
+    return reduce(lambda x, y: x & y, [(band <= i) | (F.col(f"{k}_{a}") != F.col(f"{k}_{b}")) for i, k in enumerate(KEYS[:-1])])
+
+
+def _grouped(pairs: Table, forms: DataFrame) -> DataFrame:
+    """(centre, part, node, form): the forms of all a of one b, in parts of about GROUP, each after b's own form, which has no node."""
+    parts = pairs.rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    members = pairs.rows.join(parts, "b").select(F.col("a").alias("asked"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.col("a").alias("node"))
+    centres = parts.select(F.col("b").alias("asked"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"))
+    rows = members.union(centres).join(forms.select(F.col("node").alias("asked"), "form"), "asked").drop("asked")
+    # Each row is a long comparison of a short line, so they are dealt to many tasks.
+    dealt = rows.repartition(min(10_000, pairs.count // 500 + 1), "centre", "part")
+    return dealt.select("centre", "part", "node", "form").sortWithinPartitions("centre", "part", F.asc_nulls_first("node"))
+
+
 def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, version, line) of every line that isn't its group's first occurrence. docs: (doc_id, version, text)."""
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, line int, h1 long, h2 long, print1 long, print2 long, size int, {', '.join(f'{k} int' for k in KEYS)}"
@@ -338,9 +364,11 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     entries = write_table(listed.join(small(shared, WANTED), "key").select("key", F.lit(0).alias("block"), "node"))
     drop_tables(shared)
 
-    def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        x, y = (df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", *traits)]) for df, s in ((left, "x"), (right, "y")))
+    def near(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+        x, y = (df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", *traits, *(KEYS if once else []))]) for df, s in ((left, "x"), (right, "y")))
         can = (F.col("component_x") != F.col("component_y")) & _possible("x", "y", percent)
+        if once:
+            can &= _first_shared(x["key"], "x", "y")
         return x.join(y, (x["key"] == y["key"]) & can).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
     def screen(pairs: DataFrame) -> DataFrame:
@@ -349,14 +377,11 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def verify(pairs: Table) -> Table:
         forms = write_table(_forms(docs, nodes.rows.select("node", "rep", "rep_version", "h1", "h2"), pairs))
-        both = pairs.rows.join(forms.rows.toDF("a", "form_a"), "a").join(forms.rows.toDF("b", "form_b"), "b")
-        # Each pair is a long comparison of a short row, so they are dealt out by number.
-        both = both.repartition(min(10_000, pairs.count // 500 + 1), F.xxhash64("a", "b"))
-        found = write_table(both.mapInArrow(partial(_close, percent=percent), "a long, b long"))
+        found = write_table(_grouped(pairs, forms.rows).mapInArrow(partial(_close, percent=percent), "a long, b long"))
         drop_tables(forms)
         return found
 
-    joined = linked_components(entries, nodes.rows.select("node", *traits), screen, near, verify)
+    joined = linked_components(entries, nodes.rows.select("node", *traits, *KEYS), screen, near, verify)
     drop_tables(entries)
     # A form that stands once and links with nothing needs no more thought.
     placed = nodes.rows.select("node", "h1", "h2", "rep", "held").join(joined.rows.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

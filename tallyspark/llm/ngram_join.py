@@ -230,7 +230,7 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     words = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITS // 64)]
     traits = nodes.rows.select("node", *words)
 
-    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+    def near(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
         cols = ["node", "size", "position", "component", "block", *traits.columns[1:]]
         x, y = (df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for df, s in ((left, "x"), (right, "y")))
         can = _possible("size_x", "size_y", "position_x", "position_y", percent) & _maps_allow("x", "y", percent) & (F.col("component_x") != F.col("component_y"))

@@ -3,8 +3,10 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspark.llm.line_dedup import FLIPS, FUZZY_CHARS, dedup_lines, edit_distance, line_keys, line_prints, near_enough, normal_lines, normalise
+from tallyspark.llm._common import write_table
+from tallyspark.llm.line_dedup import FLIPS, FUZZY_CHARS, KEYS, _close, _first_shared, _grouped, dedup_lines, edit_distance, line_keys, line_prints, near_enough, normal_lines, normalise
 
 
 def levenshtein(a, b):
@@ -183,3 +185,28 @@ def test_crowds_lose_no_link(spark):
     want, _ = brute(docs)
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want and sum(t.startswith(template) for t in got.values()) == 1 and sum(t.startswith(passage) for t in got.values()) == 120
+
+
+def test_a_pair_is_given_by_its_first_shared_key_only(spark):
+    rng = np.random.default_rng(2)
+    held = rng.integers(-(1 << 31), 1 << 31, (12, len(KEYS)))
+    held[1:][rng.random((11, len(KEYS))) < 0.6] = 0
+    held[0], held[1] = -(1 << 31), (1 << 31) - 1
+    held[2, -1] = -(1 << 31)
+    lines = spark.createDataFrame([(i, [int(k) for k in row]) for i, row in enumerate(held)], "node long, held array<long>")
+    named = [F.col("held")[i].cast("int").alias(k) for i, k in enumerate(KEYS)]
+    x, y = (lines.select(F.posexplode("held").alias("band", "at"), "node", *named).select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("at")).alias("key"), F.col("node").alias(f"node_{s}"), *[F.col(k).alias(f"{k}_{s}") for k in KEYS]) for s in "xy")
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_x") > F.col("node_y")))
+    got = [(r.node_x, r.node_y) for r in met.where(_first_shared(x["key"], "x", "y")).select("node_x", "node_y").collect()]
+    want = [(i, j) for i in range(12) for j in range(i) if (held[i] == held[j]).any()]
+    assert sorted(got) == want and met.count() > 2 * len(want)
+
+
+def test_lines_meet_in_the_group_of_one(spark):
+    """A line's form stands once in each part of its group, not beside each of the lines compared with it."""
+    forms = [(i, f"the line that all of the others are compared with {i % 7}" if i % 3 else f"another one altogether, number {i}") for i in range(1, 400)]
+    pairs = write_table(spark.createDataFrame([(i, 1) for i in range(2, 400)], "a long, b long"))
+    groups = _grouped(pairs, spark.createDataFrame(forms, "node long, form string"))
+    assert groups.count() < 398 + 8
+    found = groups.mapInArrow(lambda it: _close(it, 80), "a long, b long").collect()
+    assert sorted((r.a, r.b) for r in found) == [(i, 1) for i in range(2, 400) if i % 3]
