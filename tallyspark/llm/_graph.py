@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm._common import Table, drop_tables, small, write_table
@@ -44,7 +45,15 @@ def _stars(edges: DataFrame) -> DataFrame:
     return ends.select("e.*").where("a <> b").distinct()
 
 
-def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame, bool], DataFrame], verify: Callable[[Table], Table]) -> Table:
+def linked_components(
+    entries: Table,
+    traits: DataFrame,
+    screen: Callable[[DataFrame], DataFrame],
+    near: Callable[[DataFrame, DataFrame, bool], DataFrame],
+    verify: Callable[[Table], Table],
+    crowded: Column | None = None,
+    crowd_links: Callable[[DataFrame], DataFrame] | None = None,
+) -> Table:
     """The components, as edges to their smallest nodes, of the graph whose links are the verified pairs among nodes that share a key.
 
     entries: (key, block, node, ...) with keys of two nodes or more; traits:
@@ -59,7 +68,9 @@ def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataF
     2. What stands in keys with several components is open. While pairs across
        components are many for the entries there are, each node outside its
        key's largest component is tried against one member of that.
-    3. Once they are few, or a round of 2 doesn't halve them, all are tried.
+    3. Once they are few, or a round of 2 doesn't halve them, all are tried;
+       those of crowded entries (a condition on what _open gives) not as rows:
+       crowd_links(entries) gives their links.
 
     A pair is left untried only if both ends lie in one component already, so
     the components are those of all links, while a group that is joined early
@@ -77,18 +88,25 @@ def linked_components(entries: Table, traits: DataFrame, screen: Callable[[DataF
         outside = open_.rows.where("component <> largest")
         last = not links.count or open_.also["load"] <= LOAD * entries.count or open_.also["load"] > load / 2
         load = open_.also["load"]
-        if last:
+        if last and crowd_links is not None:
+            # A pair may share a crowded key before one that is not, so all of the latter give it.
+            pairs = near(outside.where(~crowded), open_.rows.where(~crowded), False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        elif last:
             pairs = near(outside, open_.rows, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         else:
             pairs = _met_most(near(outside, _one_of_the_largest(open_.rows), False))
         for t in tried:
             pairs = pairs.join(t.rows.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
         tried.append(write_table(pairs))
-        drop_tables(open_, links)
+        drop_tables(links)
         links = verify(tried[-1])
-        if links.count:
-            before, placed = placed, components(placed.rows.union(links.rows.select("a", "b")))
-            drop_tables(before)
+        found = [links]
+        if last and crowd_links is not None and not open_.rows.where(crowded).isEmpty():
+            found.append(write_table(crowd_links(open_.rows.where(crowded))))
+        drop_tables(open_)
+        if any(t.count for t in found):
+            before, placed = placed, components(reduce(DataFrame.union, [t.rows.select("a", "b") for t in (placed, *found)]))
+            drop_tables(before, *found[1:])
     drop_tables(links, *tried)
     return placed
 

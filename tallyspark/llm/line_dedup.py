@@ -25,6 +25,10 @@ WORD_TABLE = 1 << 26
 FUZZY_CHARS = 20
 #: Lines that are compared with one line in one group of rows; a larger group is split.
 GROUP = 100
+#: Lines of one key, no more of which are paired as rows; those of a larger one meet in blocks of about so many in a task.
+CROWD, BLOCK = 64, 500
+#: Fewer lines than MANY are compared with a line one by one, more of them at once in whole numbers of about so many bits.
+MANY, BITS = 6, 1 << 18
 #: Most rows of a relation of ids, keys or line numbers that is broadcast (8 to 60 bytes each); a larger one is joined.
 WANTED = 500_000
 
@@ -300,17 +304,113 @@ def near_enough(a: str, b: str, percent: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def edit_distances(a: str, others: list[str]) -> np.ndarray:
+    """Levenshtein distances from one string to others, as in edit_distance: each has its own bits of the same whole numbers, with free ones between that stop carries."""
+    points = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, *others)]
+    lengths = np.array([len(p) for p in points[1:]], np.int64)
+    widths = (lengths // 8 + 1) * 8
+    starts = np.cumsum(widths) - widths
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    laid = np.full(widths.sum(), 1 << 31, np.uint32)
+    laid[at] = np.concatenate(points[1:])
+    number = lambda bits: int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    first = np.zeros(len(laid), bool)
+    first[starts[lengths > 0]] = True
+    whole, low = number(laid != 1 << 31), number(first)
+    places = {c: number(laid == c) for c in np.unique(points[0]).tolist()}
+    up, down = whole, 0
+    for c in points[0].tolist():
+        here = places[c]
+        flat = ((((here & up) + up) ^ up) | here | down) & whole
+        rise = ((down | (whole ^ (flat | up))) << 1 | low) & whole
+        up, down = ((up & flat) << 1 & whole) | (whole ^ (flat | rise)), rise & flat
+    counts = [np.add.reduceat(np.bitwise_count(np.frombuffer(n.to_bytes(len(laid) // 8, "little"), np.uint8)), starts // 8, dtype=np.int64) for n in (up, down)]
+    return len(points[0]) + counts[0] - counts[1]
+
+
+def all_near_enough(a: str, others: list[str], percent: int) -> np.ndarray:
+    """near_enough of one string and each of the others."""
+    lengths = np.array([len(s) for s in others], np.int64)
+    most = (100 - percent) * np.maximum(lengths, len(a)) // 100
+    out = np.abs(lengths - len(a)) <= most
+    may = np.flatnonzero(out)
+    if len(may) < MANY:
+        out[may] = [near_enough(a, others[i], percent) for i in may]
+        return out
+    lo, ends = 0, np.cumsum(lengths[may])
+    while lo < len(may):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BITS, "right")))
+        part = may[lo:hi]
+        out[part] = edit_distances(a, [others[i] for i in part]) <= most[part]
+        lo = hi
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) that join the components of the lines of each (key, lo, hi): those of block lo with those of block hi."""
+
+    def links(key: int, lo: int, hi: int, rows: list[dict]) -> Iterator[tuple[int, int]]:
+        band = (key + (1 << 31)) >> 32
+        forms = [r["form"] for r in rows]
+        column = lambda c, kind=np.int64: np.array([r[c] for r in rows], kind)
+        nodes, component, size, block = (column(c) for c in ("node", "component", "size", "block"))
+        prints = [column(f"print{i}") for i in (1, 2)]
+        earlier = [column(k) for k in KEYS[:band]]
+        for i in np.flatnonzero(block == lo):
+            may = component != component[i]
+            may &= (block == hi) & ((np.arange(len(rows)) > i) | (lo != hi))
+            most = np.maximum(size, size[i]) * (100 - percent)
+            may &= (np.abs(size - size[i]) * 100 <= most) & (most >= 100)
+            at = np.flatnonzero(may)
+            at = at[sum(np.bitwise_count((p[at] ^ p[i]).view(np.uint64)).astype(np.int64) for p in prints) <= FLIPS]
+            for k in earlier:
+                at = at[k[at] != k[i]]
+            if not len(at):
+                continue
+            # One after the other, so that what is joined by the way needs no comparison.
+            for part in np.array_split(at, -(-len(at) // GROUP)):
+                part = part[component[part] != component[i]]
+                for j in part[all_near_enough(forms[i], [forms[j] for j in part], percent)]:
+                    if component[j] != component[i]:
+                        component[component == component[j]] = component[i]
+                        yield int(nodes[j]), int(nodes[i])
+
+    now, held = None, []
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            if (group := (row["key"], row["lo"], row["hi"])) != now:
+                if held:
+                    found += links(*now, held)
+                now, held = group, []
+            held.append(row)
+        yield _pairs(found)
+    if held:
+        yield _pairs(list(links(*now, held)))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of the lines that are near enough to the centre of their group, which comes first in it and has no node."""
-    now, centre = None, ""
+    now, centre, held = None, "", []
+
+    def near() -> list[tuple[int, int]]:
+        same = all_near_enough(centre, [form for _, form in held], percent)
+        return [(node, now[0]) for (node, _), is_near in zip(held, same, strict=True) if is_near]
+
     for batch in batches:
         found = []
         for group, part, node, form in zip(*(batch[c].to_pylist() for c in ("centre", "part", "node", "form")), strict=True):
             if node is None:
-                now, centre = (group, part), form
-            elif (group, part) == now and near_enough(form, centre, percent):
-                found.append((node, group))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                found += near()
+                now, centre, held = (group, part), form, []
+            elif (group, part) == now:
+                held.append((node, form))
+        yield _pairs(found)
+    yield _pairs(near())
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -322,11 +422,11 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (F.abs(F.abs(n) - F.abs(m)) * 100 <= most) & (most >= 100) & same
 
 
-def _forms(docs: DataFrame, nodes: DataFrame, pairs: Table) -> DataFrame:
-    """(node, form) of the nodes of some pairs, read again from a document that has them."""
-    wanted = pairs.rows.select(F.col("a").alias("node")).union(pairs.rows.select("b")).distinct().join(nodes, "node")
+def _forms(docs: DataFrame, nodes: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """(node, form) of the nodes asked for, read again from a document that has them."""
+    wanted = asked.distinct().join(nodes, "node")
     by_doc = wanted.groupBy(F.col("rep").alias("doc_id"), F.col("rep_version").alias("version")).agg(F.collect_list(F.struct("node", "h1", "h2")).alias("wanted"))
-    if 2 * pairs.count <= WANTED:
+    if few:
         by_doc = F.broadcast(by_doc)
     texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (docs["version"] == by_doc["version"])).select("text", "wanted")
     return texts.mapInArrow(_lines, "node long, form string").groupBy("node").agg(F.first("form").alias("form"))
@@ -349,6 +449,14 @@ def _grouped(pairs: Table, forms: DataFrame) -> DataFrame:
     return dealt.select("centre", "part", "node", "form").sortWithinPartitions("centre", "part", F.asc_nulls_first("node"))
 
 
+def _in_blocks(entries: DataFrame, forms: DataFrame) -> DataFrame:
+    """The entries of each key in blocks of about BLOCK, with their forms, once for each two blocks (lo, hi) that one of them is."""
+    blocks = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = entries.join(F.broadcast(blocks), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return spread.join(forms, "node").select("key", "lo", "hi", "block", "node", "component", "size", "print1", "print2", *KEYS, "form")
+
+
 def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, version, line) of every line that isn't its group's first occurrence. docs: (doc_id, version, text)."""
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, line int, h1 long, h2 long, print1 long, print2 long, size int, {', '.join(f'{k} int' for k in KEYS)}"
@@ -375,13 +483,26 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         side = lambda c: nodes.rows.select(F.col("node").alias(c), *[F.col(t).alias(f"{t}_{c}") for t in traits])
         return pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a", "b", percent)).select("a", "b")
 
+    places = nodes.rows.select("node", "rep", "rep_version", "h1", "h2")
+
     def verify(pairs: Table) -> Table:
-        forms = write_table(_forms(docs, nodes.rows.select("node", "rep", "rep_version", "h1", "h2"), pairs))
+        asked = pairs.rows.select(F.col("a").alias("node")).union(pairs.rows.select("b"))
+        forms = write_table(_forms(docs, places, asked, 2 * pairs.count <= WANTED))
         found = write_table(_grouped(pairs, forms.rows).mapInArrow(partial(_close, percent=percent), "a long, b long"))
         drop_tables(forms)
         return found
 
-    joined = linked_components(entries, nodes.rows.select("node", *traits, *KEYS), screen, near, verify)
+    def crowd_links(crowded: DataFrame) -> DataFrame:
+        asked = write_table(crowded.select("node").distinct())
+        forms = write_table(_forms(docs, places, asked.rows, asked.count <= WANTED))
+        rows = write_table(_in_blocks(crowded, forms.rows))
+        drop_tables(asked, forms)
+        # Two blocks are long work on few rows, so they are dealt to many tasks.
+        dealt = rows.rows.repartition(min(10_000, rows.count // BLOCK + 1), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "node")
+        return dealt.mapInArrow(partial(_block_links, percent=percent), "a long, b long")
+
+    is_crowded = (F.col("entries") > CROWD) & (F.col("size") > 0)
+    joined = linked_components(entries, nodes.rows.select("node", *traits, *KEYS), screen, near, verify, is_crowded, crowd_links)
     drop_tables(entries)
     # A form that stands once and links with nothing needs no more thought.
     placed = nodes.rows.select("node", "h1", "h2", "rep", "held").join(joined.rows.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm._common import write_table
-from tallyspark.llm.line_dedup import FLIPS, FUZZY_CHARS, KEYS, _close, _first_shared, _grouped, dedup_lines, edit_distance, line_keys, line_prints, near_enough, normal_lines, normalise
+from tallyspark.llm.line_dedup import FLIPS, FUZZY_CHARS, KEYS, _close, _first_shared, _grouped, all_near_enough, dedup_lines, edit_distance, edit_distances, line_keys, line_prints, near_enough, normal_lines, normalise
 
 
 def levenshtein(a, b):
@@ -210,3 +210,32 @@ def test_lines_meet_in_the_group_of_one(spark):
     assert groups.count() < 398 + 8
     found = groups.mapInArrow(lambda it: _close(it, 80), "a long, b long").collect()
     assert sorted((r.a, r.b) for r in found) == [(i, 1) for i in range(2, 400) if i % 3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_distances_to_many_at_once(seed):
+    rng = np.random.default_rng(seed)
+    for longest in (3, 20, 80):
+        draw = lambda n: "".join(rng.choice(list("abcé𝄞\0"), rng.integers(0, n)))
+        a = draw(longest)
+        others = [*(draw(longest) for _ in range(9)), "", a, a + "x"]
+        assert edit_distances(a, others).tolist() == [levenshtein(a, b) for b in others]
+        assert all_near_enough(a, others, 80).tolist() == [near_enough(a, b, 80) for b in others]
+
+
+def test_lines_of_a_crowd_meet_in_blocks(spark, monkeypatch):
+    """Lines that share a passage of two thirds and link by chance: the links are those of all pairs as rows, but such rows are not made."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passage = " ".join(word() for _ in range(20))
+    lines = spark.createDataFrame([(i, f"{' '.join(word() for _ in range(rng.integers(6, 12)))} {passage}") for i in range(150)], "doc_id long, text string")
+    monkeypatch.setattr("tallyspark.llm.line_dedup.BLOCK", 40)
+    made, rows, left = _grouped, [], []
+    monkeypatch.setattr("tallyspark.llm.line_dedup._grouped", lambda pairs, forms: rows.append(pairs.count) or made(pairs, forms))
+    for crowd in (64, 1000):
+        monkeypatch.setattr("tallyspark.llm.line_dedup.CROWD", crowd)
+        rows.append(0)
+        left.append({r.doc_id for r in dedup_lines(lines).collect() if r.text})
+    before = rows.index(0, 1)
+    assert left[0] == left[1] and 1 < len(left[0]) < 150
+    assert 3 * sum(rows[:before]) < sum(rows[before:])
