@@ -55,7 +55,7 @@ def q_binary_ranges(spark, sf_dir):
     files = e.groupBy("user_id").agg(F.array_sort(F.collect_list(samples)).alias("s"))
     content = F.unhex(F.array_join(F.transform("s", lambda s: s["x"]), ""))
     root = _new_folder(spark, "samples")
-    B.write_bundle(files.select(F.concat(F.lit("pcm/"), F.col("user_id").cast("string"), F.lit(".bin")).alias("path"), content.alias("content")), root)
+    B.write_bundle(dealt(files.select(F.concat(F.lit("pcm/"), F.col("user_id").cast("string"), F.lit(".bin")).alias("path"), content.alias("content"))), root)
     B.sealed_copy(B.listing(spark, root).where("kind = 'file' AND path LIKE 'pcm/%'"), root, f"{root}-sealed")
     read = read_fixed_width(spark, f"{root}-sealed/pcm", 2, range_bytes=128)
     return read.select(F.replace("path", F.lit(".bin"), F.lit("")).cast("long").alias("user_id"), "i", "v")

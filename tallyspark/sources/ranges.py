@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of one task's range, and of one step within it.
 RANGE_BYTES, STEP_BYTES = 64 << 20, 4 << 20
+#: What a range counts besides its bytes, so that a task gets about a thousand tiny ones; up to how many ranges of one size are a task each; values that are handed on together.
+OPEN_BYTES, LEAST_TASKS, TOGETHER = 64 << 10, 64, 1 << 16
 _SCHEMA = pa.schema([("path", pa.string()), ("i", pa.int64()), ("v", pa.int64())])
 
 
@@ -25,11 +28,10 @@ def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    name: str
-    begin: int
-    end: int
+class Ranges(InputPartition):
+    """Ranges that one task reads: (path, name, begin, end) of each."""
+
+    pieces: list[tuple[str, str, int, int]]
 
 
 class FixedWidthSource(DataSource):
@@ -37,7 +39,9 @@ class FixedWidthSource(DataSource):
 
     Options: path, width, signed (true), expected (values a file must have, if given), range_bytes. A file whose length
     fits no whole number of values, or not the expected one, fails the read
-    before any task starts. Hidden files (. or _) are left out.
+    before any task starts. Hidden files (. or _) are left out. Many small
+    ranges share a task, so there are as many tasks as the bytes need, not as
+    there are files.
     """
 
     @classmethod
@@ -63,7 +67,7 @@ class _Reader(DataSourceReader):
         step = int(options.get("range_bytes", RANGE_BYTES))
         self.range = max(self.width, step - step % self.width)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, root = file_system(self.path)
         info = system.get_file_info(root)
         if info.type == arrow_fs.FileType.NotFound:
@@ -78,19 +82,47 @@ class _Reader(DataSourceReader):
                 fault = "an odd number of bytes" if self.expected is None else "another size"
                 raise ValueError(f"{f.path} has {fault}: {f.size} are not {wanted}")
             name = f.path[len(root) :].lstrip("/") if f.path != root else f.base_name
-            out += [Range(f.path, name, at, min(at + self.range, f.size)) for at in range(0, f.size, self.range)]
-        return out
+            out += [(f.path, name, at, min(at + self.range, f.size)) for at in range(0, f.size, self.range)]
+        return _packed(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
         step = STEP_BYTES - STEP_BYTES % self.width
-        with system.open_input_file(partition.path) as f:
-            for at in range(partition.begin, partition.end, step):
-                raw = f.read_at(min(step, partition.end - at), at)
-                values = np.frombuffer(raw, self.kind).astype(np.int64)
-                first = at // self.width
-                name = pa.repeat(pa.scalar(partition.name), len(values))
-                yield pa.RecordBatch.from_arrays([name, pa.array(np.arange(first, first + len(values))), pa.array(values)], schema=_SCHEMA)
+        held, n = [], 0
+        for path, pieces in groupby(partition.pieces, key=lambda p: p[0]):
+            with system.open_input_file(path) as f:
+                for _, name, begin, end in pieces:
+                    for at in range(begin, end, step):
+                        values = np.frombuffer(f.read_at(min(step, end - at), at), self.kind).astype(np.int64)
+                        held.append((name, at // self.width, values))
+                        n += len(values)
+                        if n >= TOGETHER:
+                            yield _batch(held)
+                            held, n = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _packed(pieces: list[tuple[str, str, int, int]]) -> list[Ranges]:
+    """Ranges in their order, as many in a task as stay below RANGE_BYTES and leave LEAST_TASKS tasks; a larger one is a task of its own."""
+    cost = lambda p: p[3] - p[2] + OPEN_BYTES
+    most = min(RANGE_BYTES, sum(map(cost, pieces)) // LEAST_TASKS)
+    out, now = [], 0
+    for piece in pieces:
+        if not out or now + cost(piece) > most:
+            out.append(Ranges([]))
+            now = 0
+        out[-1].pieces.append(piece)
+        now += cost(piece)
+    return out
+
+
+def _batch(held: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+    """Values read, each run with its file's name and the number of its first."""
+    sizes = [len(values) for _, _, values in held]
+    names = pa.array([name for name, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+    numbers = np.concatenate([np.arange(first, first + n) for (_, first, _), n in zip(held, sizes, strict=True)])
+    return pa.RecordBatch.from_arrays([names, pa.array(numbers), pa.array(np.concatenate([values for _, _, values in held]))], schema=_SCHEMA)
 
 
 def read_fixed_width(spark: SparkSession, path: str, width: int, **options) -> DataFrame:

@@ -149,6 +149,21 @@ def test_ranges_of_one_file_are_many_tasks(spark, tmp_path, width, signed):
     assert df.rdd.getNumPartitions() >= 8
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    files = {f"f{i:05}": [i % 300 - 7 + k for k in range(i % 5)] for i in range(3000)} | {"g": list(range(-100, 200))}
+    for name, values in files.items():
+        (tmp_path / "d" / name).write_bytes(struct.pack(f"<{len(values)}h", *values))
+    df = R.read_fixed_width(spark, str(tmp_path / "d"), 2, range_bytes=8)
+    assert 4 <= df.rdd.getNumPartitions() <= 80
+    assert sorted((r.path, r.i, r.v) for r in df.collect()) == [(name, i, v) for name, values in sorted(files.items()) for i, v in enumerate(values)]
+
+
+def test_large_ranges_are_tasks_of_their_own():
+    pieces = [("p", "n", at, at + R.RANGE_BYTES) for at in range(0, 300 * R.RANGE_BYTES, R.RANGE_BYTES)]
+    assert [p.pieces for p in R._packed(pieces)] == [[p] for p in pieces] and R._packed([]) == []
+
+
 def test_logs(spark, tmp_path):
     log = str(tmp_path / "status")
     event = "event_type string, source_id string, prior_sha string, new_sha string, detected_at string, metadata map<string,string>"
