@@ -1,4 +1,4 @@
-"""Nested JSON of any shape as relations: a walk of VARIANT values level by level, admission, non-finite numbers, canonical text.
+"""Nested JSON of any shape: a walk of VARIANT values as relations, level by level, with admission and non-finite numbers; canonical text, document by document.
 
 A level is one relation of nodes; only objects and arrays go on to the next,
 so the walk takes as many steps as the deepest document has levels, whatever
@@ -7,12 +7,14 @@ the number of documents. Documents are bounded by admission before it begins.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.sources.files import MAX_BYTES, MAX_DEPTH, MAX_ENTRIES, bracket_shape
 from tallyspark.sources.lineage import cut
@@ -117,50 +119,39 @@ def admit_nested(docs: DataFrame, key: str, raw: str, max_bytes: int = MAX_BYTES
     return known.join(first, F.col("_key") == F.col("key"), "left").select(F.col("_key").alias(key), verdict.alias("verdict"), F.col("breach.path").alias("path"), found.alias("found"))
 
 
-def quoted(text: Column) -> Column:
-    """A JSON string: what must be escaped is, controls in small hex digits, everything else stays."""
-    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-    rest = {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in short}
-    escaped = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), short.items(), text)
-    full = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), rest.items(), escaped)
-    return F.concat(F.lit('"'), F.when(escaped.rlike(r"[\x00-\x1f]"), full).otherwise(escaped), F.lit('"'))
+def _whole(digits: str) -> int:
+    if len(digits.lstrip("-")) > 38:
+        raise ValueError("a whole number of over 38 digits")
+    return int(digits)
 
 
-def with_shortest_double(df: DataFrame, digits: str, out: str) -> DataFrame:
-    """Adds the JVM's digits of a double as 0.1, 1e-05 or 1e+16: exponents from 16 up and below -4, of two digits at least, and a point otherwise.
+def _members(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    members = dict(pairs)
+    if len(members) < len(pairs):
+        raise ValueError("a repeated key")
+    return members
 
-    Right where the digits are the fewest that give the number, as they are
-    when there are at most 15 (see _needs_python). In steps, so that no
-    expression is worked out twice.
-    """
-    parts = {f"_{i}": F.regexp_extract(digits, r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i + 1) for i in range(4)}
-    df = df.withColumns(parts).withColumns({"_every": F.concat("_1", "_2"), "_power": F.coalesce(F.col("_3").try_cast("int"), F.lit(0))})
-    df = df.withColumn("_led", F.regexp_replace("_every", "^0+", "")).withColumn("_figures", F.regexp_replace("_led", "0+$", ""))
-    # The number is 0.figures times ten to the power of point.
-    df = df.withColumns({"_point": F.length("_1") + F.col("_power") - F.length("_every") + F.length("_led"), "_n": F.length("_figures")})
-    ten = F.abs(F.col("_point") - 1).cast("string")
-    df = df.withColumns({
-        "_exponent": F.concat(F.when(F.col("_point") < 1, "e-").otherwise("e+"), F.when(F.length(ten) < 2, F.concat(F.lit("0"), ten)).otherwise(ten)),
-        "_mantissa": F.concat(F.substring("_figures", 1, 1), F.when(F.col("_n") > 1, F.concat(F.lit("."), F.substring("_figures", 2, 400))).otherwise("")),
-        "_below": F.concat(F.lit("0."), F.repeat(F.lit("0"), -F.col("_point")), F.col("_figures")),
-        "_above": F.concat(F.col("_figures"), F.repeat(F.lit("0"), F.col("_point") - F.col("_n")), F.lit(".0")),
-        "_within": F.concat(F.substring("_figures", F.lit(1), F.col("_point")), F.lit("."), F.substring(F.col("_figures"), F.col("_point") + 1, F.lit(400))),
-    })
-    point = F.col("_point")
-    text = F.when(F.col("_n") == 0, "0.0").when((point < -3) | (point > 16), F.concat("_mantissa", "_exponent")).when(point <= 0, F.col("_below")).when(point >= F.col("_n"), F.col("_above")).otherwise(F.col("_within"))
-    word = F.col(digits).isin("NaN", "Infinity", "-Infinity")
-    return df.withColumn(out, F.when(word, F.col(digits)).otherwise(F.concat("_0", text))).drop(*parts, *[f"_{c}" for c in ("every", "power", "led", "figures", "point", "n", "exponent", "mantissa", "below", "above", "within")])
-
-
-def _needs_python(digits: Column) -> Column:
-    """Over 15 figures, or next to nothing in size: the JVM's digits may not be the fewest or the nearest."""
-    return (F.length(F.regexp_replace(F.regexp_replace(digits, "E.*$|[.-]", ""), "^0+|0+$", "")) > 15) | digits.rlike("E-3[0-9]{2}$")
-
-
-def _repr(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in parts:
-        rows["json"] = [repr(float(x)) for x in rows["text"]]
-        yield rows
+
+_READ = json.JSONDecoder(parse_int=_whole, object_pairs_hook=_members).decode
+_WRITE = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, check_circular=False).encode
+
+
+def _canonical(raw: str | None) -> str | None:
+    """One text's canonical form; None for what is no document."""
+    if raw is None:
+        return None
+    try:
+        text = _WRITE(_READ(raw))
+    except ValueError:
+        return None
+    # Half a surrogate pair, which only an escape can name, has no UTF-8: it becomes a question mark, in keys before they are sorted.
+    return text if text.isascii() or (sound := text.encode("utf-8", "replace").decode()) == text else _canonical(sound)
+
+
+def _canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.array(map(_canonical, batch.column(1).to_pylist()), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["key", "canonical"])
 
 
 def canonical(docs: DataFrame, key: str, raw: str) -> DataFrame:
@@ -168,38 +159,13 @@ def canonical(docs: DataFrame, key: str, raw: str) -> DataFrame:
 
     Whole numbers stay as written (up to 38 digits), others are doubles:
     1.50 is 1.5, 1e3 is 1000.0, infinite ones are words. Null for texts that
-    are inadmissible or can't be parsed (see parse_exact), and for null.
+    are inadmissible or no JSON document (see parse_exact), and for null. A
+    text is written where it lies, so nothing is shuffled or joined; its
+    shortest doubles need Python anyhow.
     """
-    size = F.octet_length(raw)
-    fits = (size <= MAX_BYTES) & (F.when(size <= MAX_BYTES, bracket_shape(F.col(raw))["most"]) <= MAX_DEPTH)
-    levels = walk(docs.select(F.col(key).alias("_key"), F.when(fits, parse_exact(F.col(raw))).alias("it")), "_key", F.col("it"), MAX_DEPTH, MAX_BYTES)
-    below: DataFrame | None = None
-    for i, level in enumerate(reversed(levels)):
-        # Cut now and then, so that a plan never holds the joins of all levels.
-        below = _written(level, below) if i % 4 < 3 else cut(_written(level, below))
-    done = below.select(F.col("key").alias("_key"), F.col("json").alias("canonical"))
-    return docs.select(F.col(key)).join(done, F.col(key) == F.col("_key"), "left").select(F.col(key), "canonical")
-
-
-def _written(level: DataFrame, below: DataFrame | None) -> DataFrame:
-    """(key, path, parent, step, json) of a level, its collections joined from the level below."""
-    double = F.col("kind") == "number"
-    hard = double & ~F.col("text").isin("NaN", "Infinity", "-Infinity") & _needs_python(F.col("text"))
-    wanted = level.select("key", "path", "parent", "step", "kind", "text")
-    scalar = F.when(F.col("kind") == "string", quoted(F.col("text"))).when(F.col("kind") == "null", "null").when(double, F.col("number")).when(F.col("kind") == "whole", F.col("text")).when(F.col("kind") == "boolean", F.col("text"))
-    easy = with_shortest_double(wanted.where(~F.coalesce(hard, F.lit(False))), "text", "number").withColumn("json", scalar).drop("number")
-    few = wanted.where(hard)
-    few = few.mapInPandas(_repr, easy.schema)
-    rows = easy.unionByName(few)
-    if below is not None:
-        member = F.when(F.col("of_object"), F.concat(quoted(F.col("step")), F.lit(":"), F.col("json"))).otherwise(F.col("json"))
-        kinds = level.where("kind IN ('object', 'array')").select(F.col("key").alias("_k"), F.col("path").alias("_p"), (F.col("kind") == "object").alias("of_object"))
-        held = below.join(kinds, (F.col("key") == F.col("_k")) & (F.col("parent") == F.col("_p")))
-        place = F.struct(F.when(~F.col("of_object"), F.col("step").cast("long")).alias("at"), F.when(F.col("of_object"), F.col("step")).alias("name"), member.alias("json"))
-        inside = held.groupBy(F.col("key").alias("_k"), F.col("parent").alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["json"]), ",").alias("inside"))
-        rows = rows.join(inside, (F.col("key") == F.col("_k")) & (F.col("path") == F.col("_p")), "left")
-    else:
-        rows = rows.withColumn("inside", F.lit(None).cast("string"))
-    filled = F.coalesce("inside", F.lit(""))
-    json = F.when(F.col("kind") == "object", F.concat(F.lit("{"), filled, F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), filled, F.lit("]"))).otherwise(F.col("json"))
-    return rows.select("key", "path", "parent", "step", json.alias("json"))
+    size, opened = F.octet_length(raw), sum(F.length(raw) - F.length(F.replace(F.col(raw), F.lit(c), F.lit(""))) for c in "[{")
+    # A text with few opening brackets can't be deep, which saves the count of how they nest.
+    shallow = F.when(opened <= MAX_DEPTH, True).when(size <= MAX_BYTES, bracket_shape(F.col(raw))["most"] <= MAX_DEPTH)
+    texts = docs.select(F.col(key).alias("key"), F.when((size <= MAX_BYTES) & shallow, F.col(raw)).alias("raw"))
+    kind = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("canonical", T.StringType())])
+    return texts.mapInArrow(_canonical_batches, kind).withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.nested import admit_nested, canonical
 from tallyspark.queries import query
-from tallyspark.sources.tables import table
+from tallyspark.sources.tables import table, tasks
 
 
 @query(r"""
@@ -40,11 +40,13 @@ FROM orders LEFT JOIN o ON l_orderkey = o_orderkey
 """)
 def q_canonical_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as one nested document, written loosely with its keys out of order, in canonical text."""
-    lines = table(spark, sf_dir, "lineitem")
+    # Both sides are dealt by key to all tasks: writing a document takes long for its few bytes. Documents of lines are never broadcast.
+    parts = tasks(spark)
+    lines = table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey")
     price = F.array("l_extendedprice", F.col("l_extendedprice") * 1e12, F.col("l_extendedprice") / 1e9)
     line = F.to_json(F.struct(F.struct(F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount")).alias("rates"), price.alias("price"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")))
-    of = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_partkey", "l_extendedprice", "l_discount", "l_tax", line.alias("line")))).alias("lines"))
-    joined = table(spark, sf_dir, "orders").join(of, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    of = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_partkey", "l_extendedprice", "l_discount", "l_tax", line.alias("line")))).alias("lines"))
+    joined = table(spark, sf_dir, "orders").repartition(parts, "o_orderkey").join(of.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     listed = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), " ,\n "), F.lit(""))
     raw = F.concat(F.lit('{ "total" : '), F.col("o_totalprice").cast("string"), F.lit(', "none": null, "\\u00e9": "'), F.col("o_orderpriority"), F.lit('",\n"lines": ['), listed, F.lit('], "key": '), F.col("o_orderkey").cast("string"), F.lit(', "1st": true}'))
     return canonical(joined.select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw")

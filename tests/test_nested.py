@@ -98,3 +98,23 @@ def test_a_wide_object(spark):
     (got,) = canonical(docs, "i", "raw").collect()
     assert got.canonical == plain(wide)
     assert docs.select(parse_exact(F.col("raw")).isNotNull().alias("ok")).first().ok
+
+
+def test_canonical_is_one_pass(spark):
+    """No level is a job, a shuffle or a join, however deep the texts are."""
+    docs = spark.range(0, 400, 1, 4).select("id", F.concat(F.lit('{"b":[[[{"a":'), F.col("id").cast("string"), F.lit(".50}]]]}")).alias("raw"))
+    got = canonical(docs, "id", "raw")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and got.rdd.getNumPartitions() == 4
+    assert {r.id: r.canonical for r in got.collect()} == {i: '{"b":[[[{"a":%d.5}]]]}' % i for i in range(400)}
+
+
+def test_texts_at_the_limits(spark):
+    """Nulls among keys, equal keys, many brackets that aren't deep, brackets inside strings, halves of surrogate pairs, words behind digits."""
+    texts = [
+        ("a", "[" + "[]," * 100 + "[]]", "[" + "[]," * 100 + "[]]"), ("a", "[[]]", "[[]]"), (None, "{}", "{}"), ("b", '"' + "[" * 100 + '"', '"' + "[" * 100 + '"'), ("c", "[" * 64 + "]" * 64, "[" * 64 + "]" * 64),
+        ("d", "[" * 65 + '"x"' + "]" * 65, None), ("e", '["\\ud800", "\\ud83d\\ude00"]', '["?","😀"]'), ("f", '{"\\udc00":1,"=":2,"0":3}', '{"0":3,"=":2,"?":1}'), ("g", "[1Infinity]", None), ("h", "[" + "9" * 38 + ",-" + "9" * 38 + "]", "[" + "9" * 38 + ",-" + "9" * 38 + "]"), ("i", '["\t"]', None), ("j", "-" + "9" * 39, None), ("k", '[{"a":1,"\\u0061":2}]', None),
+    ]
+    docs = spark.createDataFrame([t[:2] for t in texts], "k string, raw string").repartition(3)
+    got = sorted(((r.k, r.canonical) for r in canonical(docs, "k", "raw").collect()), key=str)
+    assert got == sorted(((k, want) for k, _, want in texts), key=str)
