@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -15,34 +15,46 @@ _PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.
 FACTS = "expected long, highest_before long, occurrence long, head string"
 
 
+#: Identities of a channel that lie in its own value, and characters of one that does; all others have a state entry each.
+HELD, SHORT = 256, 64
+
+
 class _Ledger(StatefulProcessor):
-    """State of a channel: its last and highest counter, its head, and how often each identity was seen."""
+    """State of a channel: its last and highest counter, its head, and how often each identity was seen.
+
+    Each look at the state is a message to the JVM, so the first HELD
+    identities (JSON, identity to times) come and go with the rest in one
+    value; a longer history doesn't make it larger.
+    """
 
-    def __init__(self, keys: list[str], columns: list[str], genesis: str) -> None:
-        self.keys, self.columns, self.genesis = keys, columns, genesis
+    def __init__(self, genesis: str) -> None:
+        self.genesis = genesis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "last long, highest long, head string")
+        self.at = handle.getValueState("at", "last long, highest long, head string, held string, more boolean")
         self.seen = handle.getMapState("seen", "identity string", "times long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # A micro-batch's rows of one channel, in order; batches follow each other in the order of the stream.
-        batch = pd.concat(rows, ignore_index=True)
-        # By place: names with an underscore in front don't reach Python.
-        batch.columns = [*self.columns, "_counter", "_identity", "_leaf", "_order"]
-        batch = batch.sort_values("_order", kind="stable")
-        last, highest, head = self.at.get() if self.at.exists() else (0, None, self.genesis)
-        out = {c: [] for c in ("expected", "highest_before", "occurrence", "head")}
-        for counter, identity, leaf in zip(batch["_counter"].tolist(), batch["_identity"].tolist(), batch["_leaf"].tolist(), strict=True):
-            times = (self.seen.getValue((identity,))[0] if self.seen.containsKey((identity,)) else 0) + 1
-            self.seen.updateValue((identity,), (times,))
+        last, highest, head, text, more = self.at.get() or (0, None, self.genesis, "{}", False)
+        held, others, out = json.loads(text), {}, None
+        before = more
+        for row in sorted(rows, key=lambda r: r[-1]):
+            *columns, counter, identity, leaf, _ = row
+            if identity in held or (len(held) < HELD and len(identity) <= SHORT):
+                times = held[identity] = held.get(identity, 0) + 1
+            else:
+                if identity not in others:
+                    others[identity] = (self.seen.getValue((identity,)) or (0,))[0] if before else 0
+                times = others[identity] = others[identity] + 1
+                more = True
             head = hashlib.sha256((head + leaf).encode()).hexdigest()
-            for name, value in zip(out, (last + 1, highest, times, head), strict=True):
-                out[name].append(value)
+            out = out or Row(*row.__fields__[: len(columns)], "expected", "highest_before", "occurrence", "head")
+            yield out(*columns, last + 1, highest, times, head)
             last, highest = counter, counter if highest is None else max(highest, counter)
-        self.at.update((last, highest, head))
-        facts = pd.DataFrame(out, index=batch.index).astype({"expected": "int64", "highest_before": "Int64", "occurrence": "int64"})
-        yield pd.concat([batch[self.columns], facts], axis=1)
+        for identity, times in others.items():
+            self.seen.updateValue((identity,), (times,))
+        self.at.update((last, highest, head, json.dumps(held), more))
 
     def close(self) -> None:
         pass
@@ -58,7 +70,8 @@ def ledger_stream(events: DataFrame, channel: list[str], order: list[Column], co
     on genesis. Rows of a micro-batch are taken by order (whole numbers), which must have no
     ties, and must not come before those of earlier ones; one channel's part
     of a micro-batch is held in memory, so the trigger bounds it. Null counters,
-    identities or leaves fail the stream.
+    identities or leaves fail the stream. The state costs two messages for a
+    channel and micro-batch, and two for each identity beyond HELD.
     """
     needed = {"_counter": counter.cast("long"), "_identity": identity.cast("string"), "_leaf": leaf.cast("string")}
     sound = F.lit(True)
@@ -69,8 +82,7 @@ def ledger_stream(events: DataFrame, channel: list[str], order: list[Column], co
     key = F.concat_ws("|", *[F.lpad((o.cast("decimal(38,0)") + F.lit("100000000000000000000").cast("decimal(38,0)")).cast("string"), 24, "0") for o in order])
     rows = events.withColumns(needed | {"_counter": checked, "_order": key})
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields), FACTS])
-    processor = _Ledger(channel, events.columns, genesis)
-    return rows.groupBy(*channel).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    return rows.groupBy(*channel).transformWithState(_Ledger(genesis), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 @contextmanager
